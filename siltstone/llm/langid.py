@@ -72,7 +72,7 @@ def fit(counted: list[tuple[str, str, str, int]]) -> Model:
     for (kind, item), by in sorted(counts.items()):
         (words if kind == "w" else ngrams)[item] = len(rows)
         rows.append([math.log((by.get(lang, 0) + 0.5) / (totals[lang, kind] + 1.0)) for lang in langs])
-    return Model(langs, words, ngrams, np.array(rows).reshape(-1, len(langs)), np.zeros(len(langs)))
+    return Model(langs, words, ngrams, np.array(rows, float).reshape(len(rows), len(langs)), np.zeros(len(langs)))
 
 
 def training_counts(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_train_rows: int, max_words: int, max_grams: int) -> list[tuple[str, str, str, int]]:

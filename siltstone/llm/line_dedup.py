@@ -60,8 +60,8 @@ class LineRuns:
         self.made += 1
         counted = keys.groupBy("batch", "h1", "h2").agg(F.count("*").alias("n"))
         counted.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(path)
-        there = {r.batch for r in self.spark.read.parquet(path).select("batch").distinct().collect()} if batches else set()
-        for b in sorted(there):
+        rows = self.spark.read.schema("h1 bigint, h2 bigint, n bigint, batch int").parquet(path)
+        for b in sorted(r.batch for r in rows.select("batch").distinct().collect()):
             self.levels = self.levels or [[]]
             self.levels[0].append(f"{path}/batch={b}")
             self._compact()

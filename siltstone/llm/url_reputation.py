@@ -76,7 +76,8 @@ def _strength(groups: DataFrame) -> DataFrame:
     chance = v * (F.col("t") - F.col("q") / F.nullif(F.col("t"), F.lit(0)) - (F.col("g") - 1))
     rho = (between - v * (F.col("g") - 1)) / F.nullif(chance, F.lit(0.0))
     rho = F.greatest(F.lit(0.000999000999000999), F.least(F.lit(0.5), F.coalesce(F.when(F.col("g") > 1, rho), F.lit(0.0))))
-    return t.select(((1 - rho) / rho).alias("s"))
+    # no prior is stronger than the labels that it comes from
+    return t.select(F.least((1 - rho) / rho, F.coalesce("t", F.lit(0)) + F.lit(2.0)).alias("s"))
 
 
 def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = Z) -> DataFrame:
@@ -135,7 +136,7 @@ def judge_sql(rules: tuple[Rule, ...] = RULES, max_bad: float = MAX_BAD, z: floa
     two = ", ".join(map(_quoted, TWO_LABEL_SUFFIXES))
 
     def strength(level: str) -> str:
-        return f"""select (1 - rho) / rho as s from (select greatest(0.000999000999000999, least(0.5, coalesce(case when g > 1 then
+        return f"""select least((1 - rho) / rho, coalesce(t, 0) + 2.0::double) as s from (select t, greatest(0.000999000999000999, least(0.5, coalesce(case when g > 1 then
             (r - t * (k / t) * (k / t) - (k / t) * (1 - k / t) * (g - 1)) / nullif((k / t) * (1 - k / t) * (t - q / t - (g - 1)), 0) end, 0))) as rho
             from (select count(*)::double g, sum(n)::double t, sum(bad)::double k, sum(n * n)::double q, sum(bad * bad / n::double) r from {level} where n > 0))"""
 
