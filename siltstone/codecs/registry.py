@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from ..plans import dims
-from . import images, mseed, pdf, sqlite
+from . import images, jpeg, mseed, pdf, sqlite
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,7 @@ def register_codec(name: str, encode: Callable[[bytes, bool], bytes], canonical:
 
 
 register_codec("png", images.encode_png, _raster(images.decode_png))
+register_codec("jpeg", jpeg.without_repeats, jpeg.canonical)
 register_codec("gif", images.encode_gif, images.gif_frames)
 register_codec("tga", images.encode_tga, _raster(images.decode_tga))
 register_codec("bmp", images.encode_bmp, _raster(images.decode_bmp))

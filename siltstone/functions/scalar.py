@@ -147,7 +147,7 @@ def eta_text(done: Column, total: Column, elapsed: Column) -> Column:
 
 def progress_percent(done: Column, total: Column) -> Column:
     p = 100.0 * done / F.nullif(total, F.lit(0))
-    return F.coalesce(F.when((done < total) & (p >= 99.95), 99.9).when(done == total, 100.0).otherwise(p), F.lit(0.0))
+    return F.when(total > 0, F.when((done < total) & (p >= 99.95), 99.9).when(done == total, 100.0).otherwise(p)).otherwise(0.0)
 
 
 def natural_key(path: Column) -> Column:
