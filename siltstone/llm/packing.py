@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_udf, whole_text
-from .pretoken import Chunked
+from .pretoken import MATCHES, Chunked, Remembered
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -32,18 +32,30 @@ def piece_lengths(n: int, most: int = MAX_TOKENS) -> list[int]:
     return [most] * (n // most) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
 def _encoder(vocabulary: str):
-    """A function from a text to its ids as little-endian unsigned 32-bit integers."""
+    """A function from a text to its ids as little-endian unsigned 32-bit integers. Matches of the pattern go to the library's
+    merging model once each; their ids are remembered, and so are those of the chunks between spaces."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
-    encode = tokenizer.encode
+    merge, letters = tokenizer.model.tokenize, byte_letters()
+
+    def match_ids(match: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in merge(match.encode("utf-8").decode("latin-1").translate(letters))])
+
+    matches = Remembered(match_ids, 300_000).__getitem__
 
-    def of(chunk: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in encode(chunk, add_special_tokens=False).ids)
+    def chunk_ids(chunk: str) -> bytes:
+        return b"".join(map(matches, MATCHES.findall(chunk)))
 
-    chunked = Chunked(of)
+    chunked = Chunked(chunk_ids)
     return lambda text: b"".join(chunked(text))
 
 

@@ -14,8 +14,8 @@ from collections.abc import Callable
 import public_tokenizers
 import regex
 
-#: White space other than space and line feed, or a space that touches other white space.
-_UNSAFE = re.compile(r"[\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  |\n | \n| $")
+#: White space other than space and line feed.
+_OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 MATCHES = regex.compile(public_tokenizers.PATTERN)
 
 
@@ -46,7 +46,7 @@ class Chunked:
     def __call__(self, text: str) -> list:
         if not text:
             return []
-        if _UNSAFE.search(text):
+        if "  " in text or "\n " in text or _OTHER_SPACE.search(text):
             return [self.get_first(m) for m in MATCHES.findall(text)]
         first, *later = text.split(" ")
         out = [self.get_first(first)] if first else []
