@@ -1,12 +1,17 @@
 """The pipeline's stages on small inputs, and every operator on empty and odd tables."""
 
 import os
+import struct
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from siltstone.llm import bpe_tree, dart_minhash, langid, line_dedup, packing, pii, spotsigs, token_counts, url_reputation, vptree
 
+from .brute import kept_lines, near_classes
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 SF = "/root/testdata/sf0.001"
 
@@ -39,6 +44,32 @@ def test_run(spark):
     assert out.count() > 100 and out.select("sequence_id").distinct().count() == out.count()
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_run_is_brute_force(spark, tmp_path):
+    """The whole pipeline on documents of the smallest table, against plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    predict = langid._predictor(langid.fit_model(docs))
+    rows = {i: t for i, t in rows.items() if (p := predict(t))["lang_pred"] != "und" and p["score"] >= P.MIN_LANGUAGE_SCORE}
+    rows = {i: "\n".join(stay) for i, (_, stay) in kept_lines(list(rows.items()), 10).items()}
+    classes = near_classes(list(rows.items()))
+    rows = {i: t for i, t in rows.items() if classes[i] == i}
+    judge = pii.fit_judge(pii.sample_contexts(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string"), "text", pii.SAMPLE_ROWS))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    want = set()
+    for i, t in rows.items():
+        fixed = pii.base_spans(t)
+        ids = [*library.encode(pii.redact_text(t, [*fixed, *judge.added(t, fixed)]), add_special_tokens=False).ids, 1]
+        at = 0
+        for n in packing.piece_lengths(len(ids)):
+            want.add((i, at, tuple(ids[at : at + n])))
+            at += n
+    got = {(r.doc_id, r.start, struct.unpack(f"<{r.length}I", r.ids)) for r in P.run(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 OPERATORS = {
     "pii": lambda d: pii.find(d, judge=pii.Judge(pii.BoostedTrees(), [1.1] * 4)),
     "langid": langid.predict,

@@ -9,24 +9,9 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import dart_minhash, darts, line_dedup, spotsigs, vptree
 
-np.seterr(over="ignore")
-
-
-def classes(rows, threshold=0.8):
-    cells = [darts.shingle_cells(t) for _, t in rows]
-    root = {i: i for i, _ in rows}
+from .brute import kept_lines, near_classes
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if (rows[i][1] or "") == (rows[j][1] or "") or darts.similarity(cells[i], cells[j]) >= threshold - 1e-12:
-                a, b = find(rows[i][0]), find(rows[j][0])
-                root[max(a, b)] = min(a, b)
-    return {i: find(i) for i, _ in rows}
+np.seterr(over="ignore")
 
 
 def crowd(seed, groups=3, each=40):
@@ -50,7 +35,7 @@ def crowd(seed, groups=3, each=40):
 def test_near_duplicates(spark, seed):
     rows = crowd(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, bands int")
-    assert {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(df).collect()} == classes(rows)
+    assert {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(df).collect()} == near_classes(rows)
 
 
 def test_sketches_estimate_weighted_jaccard():
@@ -76,22 +61,6 @@ def test_keep_one(spark):
     assert dart_minhash.keep_one(df).where("doc_id is null").count() == 2
 
 
-def kept_lines(rows, least):
-    strip = " \t\n\x0b\x0c\r"
-    low = str.maketrans(line_dedup.UPPER, line_dedup.LOWER)
-    key = lambda line: line.strip(strip).translate(low)
-    count = {}
-    for _, t in rows:
-        for k in {key(x) for x in (t or "").split("\n")} - {""}:
-            count[k] = count.get(k, 0) + 1
-    out = {}
-    for i, t in rows:
-        lines = (t or "").split("\n")
-        stay = [x for x in lines if key(x) == "" or count[key(x)] < least]
-        out[i] = (len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest())
-    return out
-
-
 @pytest.mark.parametrize("batches,fanout", [(1, 4), (4, 2), (5, 2)])
 def test_lines(spark, batches, fanout):
     rng = random.Random(batches)
@@ -100,7 +69,8 @@ def test_lines(spark, batches, fanout):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, n_lines int")
     out = line_dedup.drop_frequent_lines(df, 10, batches=batches, fanout=fanout).collect()
     got = {r.doc_id: (r._n_lines, r._n_dropped, hashlib.sha256(r._kept.encode()).hexdigest()) for r in out}
-    assert got == kept_lines(rows, 10) and all(r.n_lines == 1 for r in out)
+    want = {i: (n, n - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()) for i, (n, stay) in kept_lines(rows, 10).items()}
+    assert got == want and all(r.n_lines == 1 for r in out)
 
 
 def test_runs_by_batch(spark):
