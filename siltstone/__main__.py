@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import logging
-import shutil
 import sys
 
 from pyspark.sql import SparkSession
@@ -67,19 +66,20 @@ def main(argv: list[str] | None = None) -> int:
     settings = Settings(not a.no_meta, True, a.dry_run, a.recursive, a.mode, a.output, a.report, tuple(a.include), tuple(a.exclude), a.log_level, partitions=a.threads)
     settings.check_stdin(a.inputs)
     spark = SparkSession.builder.appName("siltstone").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    inputs, piped = a.inputs, a.inputs == ["-"]
-    if piped:  # optimised where it is spooled, then sent to standard output and to the file
-        inputs = [scan.spool(sys.stdin.buffer.read())]
+    engine = Engine(spark, settings)
     try:
-        run = Engine(spark, settings if not piped else Settings(settings.preserve_metadata, True, a.dry_run, mode=a.mode)).recompress(inputs)
+        if a.inputs == ["-"]:
+            data = sys.stdin.buffer.read()
+            row = engine.run_files(scan.stdin_files(spark, data)).results.where(F.col("container_origin").isNull()).select("new_content").first()
+            if not a.dry_run:  # to standard output and to the file
+                best = bytes(row.new_content) if row.new_content is not None else data
+                sys.stdout.buffer.write(best)
+                files.replace(best, a.output)
+            return 0
+        run = engine.recompress(a.inputs)
     except KeyboardInterrupt:
         return 130
-    if piped and not a.dry_run:
-        with open(inputs[0], "rb") as f:
-            shutil.copyfileobj(f, sys.stdout.buffer)
-        with open(inputs[0], "rb") as f:
-            files.replace(f.read(), a.output)
-    elif not a.quiet:
+    if not a.quiet:
         print(csv_report.console_table(run.results.where(F.col("container_origin").isNull())))
     return 0
 

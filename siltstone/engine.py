@@ -12,7 +12,6 @@ import dataclasses
 import tempfile
 import time
 import uuid
-from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
@@ -142,7 +141,7 @@ class Engine:
         inputs = [inputs] if isinstance(inputs, str) else list(inputs)
         s = self.settings
         s.check_stdin(inputs)
-        files = scan.scan(self.spark, inputs, s.recursive, list(s.include), list(s.exclude), stdin=True)
+        files = scan.scan(self.spark, inputs, s.recursive, list(s.include), list(s.exclude))
         n = s.partitions or self.spark.sparkContext.defaultParallelism
         # long files first, spread over the tasks
         loaded = scan.contents(files.orderBy(F.desc("length")).repartition(n))
@@ -209,7 +208,7 @@ class Engine:
         nodes = levels[0]
         for level in levels[1:]:
             nodes = nodes.unionByName(level)
-        able = [p[0] for p in dims.PROCESSORS if p[2 - 1] or p[0] in CODECS]
+        able = [p[0] for p in dims.PROCESSORS if p[1] or p[0] in CODECS]
 
         def run(batches):
             for frame in batches:
@@ -273,5 +272,3 @@ class Engine:
             else:
                 self._observer.on_file_finish(e.path, *((0, 0) if e.kind == "skipped" else (e.original_size, e.new_size)), bool(e.replaced))
 
-
-Step = Callable[[bytes, bool], bytes]

@@ -24,9 +24,8 @@ def by_extension(files: DataFrame) -> DataFrame:
 def with_fallback(files: DataFrame) -> DataFrame:
     """Processors by content type; by extension only for files whose type has none. Left joins of two small arrays, no shuffle."""
     spark = files.sparkSession
-    entry = F.struct("priority", "processor")
-    mimes = dims.processor_mimes(spark).groupBy("mime").agg(F.sort_array(F.collect_list(entry)).alias("_by_mime"))
-    exts = dims.processor_exts(spark).groupBy("ext").agg(F.sort_array(F.collect_list(entry)).alias("_by_ext")).withColumnRenamed("ext", "_ext")
+    mimes = dims.processors_by_mime(spark).withColumnRenamed("processors", "_by_mime")
+    exts = dims.processors_by_ext(spark).select(F.col("ext").alias("_ext"), F.col("processors").alias("_by_ext"))
     joined = files.join(F.broadcast(mimes), "mime", "left").join(F.broadcast(exts), scalar.extension(F.col("path")) == F.col("_ext"), "left")
     found = F.when(F.coalesce(F.size("_by_mime"), F.lit(0)) > 0, F.col("_by_mime")).otherwise(F.col("_by_ext"))
     return joined.withColumn("processors", F.coalesce(found, F.array().cast("array<struct<priority:int,processor:string>>"))).drop("_by_mime", "_by_ext", "_ext")

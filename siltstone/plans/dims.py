@@ -237,6 +237,23 @@ def processor_exts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p[0], i, e) for i, p in enumerate(PROCESSORS) for e in p[4]], "processor string, priority int, ext string")
 
 
+def _grouped(which: int) -> list[tuple[str, list[tuple[int, str]]]]:
+    out: dict[str, list[tuple[int, str]]] = {}
+    for i, p in enumerate(PROCESSORS):
+        for key in dict.fromkeys(p[which]):
+            out.setdefault(key, []).append((i, p[0]))
+    return list(out.items())
+
+
+def processors_by_mime(spark: SparkSession) -> DataFrame:
+    """One row per content type with its processors in order."""
+    return spark.createDataFrame(_grouped(3), "mime string, processors array<struct<priority: int, processor: string>>")
+
+
+def processors_by_ext(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_grouped(4), "ext string, processors array<struct<priority: int, processor: string>>")
+
+
 def values_sql(rows, names: str) -> str:
     """Rows as a VALUES table of SQL, for the queries' SQL."""
 

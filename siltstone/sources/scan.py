@@ -5,8 +5,6 @@ from __future__ import annotations
 import logging
 import os
 import re
-import sys
-import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,13 +52,11 @@ def list_files(inputs: list[str], recursive: bool = False) -> Iterator[tuple[str
             log.error("Input not found: %s", given)
 
 
-def scan(spark: SparkSession, inputs: list[str], recursive: bool = False, include: list[str] | None = None, exclude: list[str] | None = None, stdin: bool = False) -> DataFrame:
+def scan(spark: SparkSession, inputs: list[str], recursive: bool = False, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """path and length of every input file that passes the filters. Names are listed in the driver, since Spark's own listing drops
-    names that start with a dot or an underscore; bytes are read by ``contents``. ``-`` with ``stdin`` is spooled to a file."""
+    names that start with a dot or an underscore; bytes are read by ``contents``. Standard input is not a path: see ``stdin_files``."""
     if "-" in inputs:
-        if not stdin or len(inputs) > 1:
-            raise ValueError("standard input must be the only input")
-        inputs = [spool(sys.stdin.buffer.read())]
+        raise ValueError("standard input must be the only input")
     rows = list(list_files(inputs, recursive))
     df = spark.createDataFrame(rows, FILES) if rows else spark.createDataFrame([], FILES)
     return df.where(~scalar.is_junk(F.col("path")) & path_filter(F.col("path"), include, exclude))
@@ -73,11 +69,9 @@ def scan_tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFra
     return rows.select("path", "length").where(~scalar.is_junk(F.col("path")))
 
 
-def spool(data: bytes) -> str:
-    path = os.path.join(tempfile.mkdtemp(prefix="siltstone-"), "stdin.bin")
-    with open(path, "wb") as f:
-        f.write(data)
-    return path
+def stdin_files(spark: SparkSession, data: bytes, name: str = "stdin.bin") -> DataFrame:
+    """Standard input as one file, with path and content; its bytes go to the tasks with the row."""
+    return spark.createDataFrame([(name, bytearray(data))], "path string, content binary")
 
 
 def contents(files: DataFrame) -> DataFrame:

@@ -95,8 +95,9 @@ def test_scan(spark, tmp_path):
     assert names(scan.scan(spark, [str(tmp_path)], include=["(bad"])) == []
     got = scan.contents(scan.scan(spark, [str(tmp_path / "a.png")])).first()
     assert bytes(got.content) == b"xxxxx" and got.length == 5
+    assert tuple(scan.stdin_files(spark, b"xy").first()) == ("stdin.bin", b"xy")
     with pytest.raises(ValueError):
-        scan.scan(spark, ["-", "x"], stdin=True)
+        scan.scan(spark, ["-", "x"])
 
 
 def test_sinks(spark, tmp_path):
