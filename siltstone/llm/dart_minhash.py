@@ -8,7 +8,8 @@ the most bucket mates, and every member x is compared with it exactly; D(x) is t
 linked to c need no comparison. Let y be a member not linked to c. For x to be similar to y, at most (|x| + |y|) / 9 shingles may
 differ, while more than (|c| + |y|) / 9 are in D(y); so D(x) and D(y) share more than half of D(x), up to a correction for sizes. Hence any
 set of |D(x)| - t + 1 elements of D(x), t being that bound, holds one of D(y): the rarest are looked up among the elements of the unlinked
-members' differences. In a group of thousands of near copies those are the copies' own edits, which few others share.
+members' differences, and since both are ordered alike, the bound for the pair's own sizes must hold at the place of the match in each.
+In a group of thousands of near copies those are the copies' own edits, and few pairs are left to compare.
 
 Links of classes are then merged by min-label propagation with pointer jumping, in written tables.
 """
@@ -91,14 +92,20 @@ def _others(stars: DataFrame, threshold: float) -> DataFrame:
     share = (1 - threshold) / (1 + threshold)  # of |x| + |y| that may differ at most
     crowds = stars.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("u")).where("n > 1 and u > 0").select("a")
     rows = written(stars.join(crowds, "a").select(F.col("a").alias("c"), "b", "linked", "na", "nb", "difference"))
-    cells = rows.where("not linked").select("c", "b", "nb", F.explode("difference").alias("cell"))
-    common = cells.groupBy("c", "cell").agg(F.count("*").alias("df"))
-    bound = F.floor((F.size("difference") - F.greatest(F.lit(0), F.col("nb") - F.col("na")) * share) / 2 - 1e-9) + 1
-    own = rows.withColumn("length", F.size("difference") - F.greatest(bound, F.lit(1)) + 1).select("c", "b", "nb", "length", F.explode("difference").alias("cell"))
+    common = rows.where("not linked").select("c", F.explode("difference").alias("cell")).groupBy("c", "cell").agg(F.count("*").alias("df"))
+    d = F.size("difference")
+    bound = F.floor((d - F.greatest(F.lit(0), F.col("nb") - F.col("na")) * share) / 2 - 1e-9) + 1
+    own = rows.select("c", "b", "linked", "nb", d.alias("d"), (d - F.greatest(bound, F.lit(1)) + 1).alias("length"), F.explode("difference").alias("cell"))
     ranked = own.join(common, ["c", "cell"], "left").withColumn("r", F.row_number().over(W.partitionBy("c", "b").orderBy(F.coalesce("df", F.lit(0)), "cell")))
-    rare = ranked.where("r <= length and df is not null").select("c", "cell", F.col("b").alias("x"), F.col("nb").alias("nx"))
-    met = rare.join(cells, ["c", "cell"]).where((F.col("x") != F.col("b")) & (F.least("nx", "nb") >= F.greatest("nx", "nb") * threshold))
-    return met.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
+    ranked = written(ranked.where("df is not null and (r <= length or not linked)"))
+    x = ranked.where("r <= length and (linked or df > 1)").select("c", "cell", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("d").alias("dx"), F.col("r").alias("rx"))
+    y = ranked.where("not linked").select(F.col("c").alias("c2"), F.col("cell").alias("cell2"), F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("d").alias("dy"), F.col("r").alias("ry"))
+    # of D(x) and D(y) at least so many are common; with one order for both, the first common one then stands early in each
+    least = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - (F.col("nx") + F.col("ny")) * share) / 2 - 1e-9))
+    early = (F.col("rx") <= F.col("dx") - least + 1) & (F.col("ry") <= F.col("dy") - least + 1)
+    sizes = F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold
+    met = x.join(y, (F.col("c") == F.col("c2")) & (F.col("cell") == F.col("cell2")) & (F.col("x") != F.col("y")) & sizes & early)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -125,7 +132,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = written(sketches(docs, id_col, text_col, width, bands, rows))
     named = found.where("doc_id is not null")
-    same = named.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"))
+    # written, so that joins with it have a shuffle of their own on both sides and Spark can split a text with many copies
+    same = written(named.groupBy("t1", "t2").agg(F.min("doc_id").alias("node")))
     heads = written(named.join(same, ["t1", "t2"]).where("doc_id = node").select("node", "bands").distinct())
     buckets = _buckets(heads)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
