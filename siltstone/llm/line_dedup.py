@@ -120,7 +120,8 @@ def without_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text")
     """All columns of ``docs``, and _n_lines, _n_dropped and _kept: the text without the lines whose key (h1, h2) is in ``frequent``."""
     rows = docs.withColumn("_text", whole_text(text_col))
     hashes = rows.select("*", *hashed(F.col("_text"), "_t1", "_t2"))
-    found = _positions(hashes.select(F.col("_text").alias("text"), F.col("_t1").alias("t1"), F.col("_t2").alias("t2")), frequent)
+    # written, so that the join below has a shuffle of its own on both sides and Spark can split a text with many copies
+    found = written(_positions(hashes.select(F.col("_text").alias("text"), F.col("_t1").alias("t1"), F.col("_t2").alias("t2")), frequent))
     joined = hashes.join(found.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("dropped").alias("_dropped")), ["_t1", "_t2"], "left")
     split = joined.withColumn("_lines", F.split("_text", "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped"))
