@@ -98,13 +98,15 @@ def _others(stars: DataFrame, threshold: float) -> DataFrame:
     own = rows.select("c", "b", "linked", "nb", d.alias("d"), (d - F.greatest(bound, F.lit(1)) + 1).alias("length"), F.explode("difference").alias("cell"))
     ranked = own.join(common, ["c", "cell"], "left").withColumn("r", F.row_number().over(W.partitionBy("c", "b").orderBy(F.coalesce("df", F.lit(0)), "cell")))
     ranked = written(ranked.where("df is not null and (r <= length or not linked)"))
-    x = ranked.where("r <= length and (linked or df > 1)").select("c", "cell", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("d").alias("dx"), F.col("r").alias("rx"))
+    x = ranked.where("r <= length and (linked or df > 1)").select("c", "cell", F.col("b").alias("x"), F.col("linked").alias("lx"), F.col("nb").alias("nx"), F.col("d").alias("dx"), F.col("r").alias("rx"))
     y = ranked.where("not linked").select(F.col("c").alias("c2"), F.col("cell").alias("cell2"), F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("d").alias("dy"), F.col("r").alias("ry"))
     # of D(x) and D(y) at least so many are common; with one order for both, the first common one then stands early in each
     least = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - (F.col("nx") + F.col("ny")) * share) / 2 - 1e-9))
     early = (F.col("rx") <= F.col("dx") - least + 1) & (F.col("ry") <= F.col("dy") - least + 1)
     sizes = F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold
-    met = x.join(y, (F.col("c") == F.col("c2")) & (F.col("cell") == F.col("cell2")) & (F.col("x") != F.col("y")) & sizes & early)
+    # the bounds are symmetric, so two unlinked members need to meet in one order only
+    once = F.col("lx") | (F.col("x") < F.col("y"))
+    met = x.join(y, (F.col("c") == F.col("c2")) & (F.col("cell") == F.col("cell2")) & (F.col("x") != F.col("y")) & once & sizes & early)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
