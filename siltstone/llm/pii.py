@@ -30,7 +30,8 @@ Span = tuple[int, int, int]  # start, index of the kind, end
 SAMPLE_ROWS = 4000
 MIN_PRECISION = 0.98
 
-_TRIGGER = re.compile("[0-9@＠]|[Dd][Oo][Tt]")
+_LOOSE_AT = re.compile(r"(?i)[@＠]|(?<![a-z])at(?![a-z])")
+_TRIGGER = re.compile(rf"{_LOOSE_AT.pattern}|[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -80,8 +81,6 @@ def base_spans(text: str) -> list[Span]:
 
 
 _AT_DOT = re.compile(r"(?i)([\w.+%-]{1,64}) ?[\[({<]? ?(?:at|@|＠) ?[\])}>]? ?((?:[\w-]{1,63} ?[\[({<]? ?(?:dot|\.) ?[\])}>]? ?){1,4})([a-z]{2,24})\b")
-_LOOSE_AT = re.compile(r"(?i)[@＠]|(?<![a-z])at(?![a-z])")
-_DOT = re.compile(r"(?i)(?<![a-z])dot(?![a-z])|[@＠]")
 _NUMBERS = re.compile(r"(?<![\w.])[+(]?[0-9](?:[ ().\-/_]{0,3}[0-9]){8,24}(?![\w])")
 _IP_LIKE = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}|[0-9]{1,3}(?: ?[\[(]?(?:\.|dot)[\])]? ?[0-9]{1,3}){3})(?![\w:])")
 
@@ -89,21 +88,16 @@ _IP_LIKE = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]
 def candidates(text: str) -> list[Span]:
     """Spans that might be personal data, generously; they may overlap."""
     out: list[Span] = []
-    seen = 0
-    for m in _DOT.finditer(text):
-        if m.start() < seen:
-            continue
-        low = max(0, m.start() - 200)
-        for at in _LOOSE_AT.finditer(text, low, m.end()):
-            begin = at.start()
-            while begin > low and text[begin - 1] in " [({<":
-                begin -= 1
-            start = begin
-            while start > max(low, begin - 64) and (text[start - 1].isalnum() or text[start - 1] in "._%+-"):
-                start -= 1
-            if start < begin and (e := _AT_DOT.match(text, start)):
-                out.append((e.start(), 0, e.end()))
-                seen = max(seen, e.end())
+    for at in _LOOSE_AT.finditer(text):
+        low = max(0, at.start() - 3)  # _AT_DOT allows three characters before it
+        begin = at.start()
+        while begin > low and text[begin - 1] in " [({<":
+            begin -= 1
+        start = begin
+        while start > max(0, begin - 64) and (text[start - 1].isalnum() or text[start - 1] in "._%+-"):
+            start -= 1
+        if start < begin and (e := _AT_DOT.match(text, start)):
+            out.append((e.start(), 0, e.end()))
     if _DIGIT.search(text):
         out += [(m.start(), 1, m.end()) for m in _IP_LIKE.finditer(text)]
         for m in _NUMBERS.finditer(text):
@@ -162,8 +156,10 @@ def _forms(rng: np.random.Generator) -> Iterator[tuple[int, str, int]]:
         dot = pick(" dot ", " (dot) ", " [dot] ", "(dot)", "[dot]", " DOT ", ".")
         at = pick(" at ", " (at) ", " [at] ", "(at)", "[at]", " AT ", " @ ", "＠") if dot != "." else pick(" (at) ", "(at)", "[at]", " [at] ", " @ ", "＠")
         name = pick(w(), f"{w()}.{w()}", f"{w()}.{rng.integers(100)}", f"{w()}_{w()}")
+        if dot == "." and not name.isalpha():  # one word, as in "buy at shop.com", is a look-alike
+            at = pick(at, " at ")
         yield 0, f"{name}{at}{w()}{dot}{pick('com', 'org', 'net', 'de', 'fr', 'es', 'io')}", 1
-        yield 0, pick(f"{w()} at {w()} dot {w()}", f"{w()} at the dot {w()}", f"{w()} at {pick('the', 'a', 'this', 'our', 'la', 'der')} dot {pick('com', 'org', 'net')}", f"{w()} @ {w()}. {w()}", f"look at {w()}.{w()}"), 0
+        yield 0, pick(f"{w()} at {w()} dot {w()}", f"{w()} at the dot {w()}", f"{w()} at {pick('the', 'a', 'this', 'our', 'la', 'der')} dot {pick('com', 'org', 'net')}", f"{w()} @ {w()}. {w()}", f"look at {w()}.{w()}", f"{w()} at {w()}.{pick('com', 'org', 'net', 'de')}", f"{w()} at {w()}. {w()}", f"{w()} at {w()}. {pick('in', 'it', 'at', 'me', 'de', 'es', 'us')}"), 0
         three = lambda: pick("2", "3", "4", "5", "6", "7", "8", "9") + n(2)
         yield 3, pick(f"({three()}) {three()}-{n(4)}", f"{three()}-{three()}-{n(4)}", f"{three()}.{three()}.{n(4)}", f"1-{three()}-{three()}-{n(4)}", f"00{rng.integers(20, 99)} {n(3)} {n(7)}", f"0{n(2)} {n(4)} {n(4)}", f"0{n(3)} {n(7)}", f"0{n(3)}/{n(6)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}"), 1
         yield 3, pick(n(int(rng.integers(9, 16))), f"20{n(2)}-0{rng.integers(1, 10)}-1{n(1)} 1{n(1)}:{n(2)}", f"20{n(2)}.{n(2)}.{n(2)}.{n(4)}", f"{n(3)}.{n(3)}.{n(3)}.{n(3)}", f"{n(1)}.{n(9)}", f"{n(2)}/{n(2)}/{n(4)}/{n(3)}", card(False)[:15], f"{n(5)} {n(5)} {n(5)}", f"{n(3)}-{n(1)}-{n(2)}-{n(6)}-{n(1)}"), 0
@@ -228,6 +224,7 @@ def fit_judge(contexts: list[str], examples: int = 4000, seed: int = 7, min_prec
     x, y, kinds = [], [], []
     for i in range(examples):
         kind, form, label = next(forms)
+        assert not label or any(k == kind for _, k, _ in candidates(form)), f"no candidate for {form!r}"
         words = contexts[int(rng.integers(len(contexts)))]
         cut = int(rng.integers(len(words) + 1))
         cue = f"{rng.choice(_CUES[kind])}: " if rng.random() < 0.15 else ""

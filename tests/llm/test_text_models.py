@@ -36,6 +36,29 @@ def test_loose_forms_are_added(text, kind):
     assert [pii.KINDS[k] for _, k, _ in JUDGE.added(text, pii.base_spans(text))] == [kind]
 
 
+@pytest.mark.parametrize("text,form", [("write to john.doe (at) example.com now", "john.doe (at) example.com"), ("contact ann[at]example.org today", "ann[at]example.org"), ("jane(at)uni.example.de", "jane(at)uni.example.de"), ("reach lea.b [AT] shop.fr, please", "lea.b [AT] shop.fr"), ("write john.doe at example.com now", "john.doe at example.com")])
+def test_bracketed_at_with_a_plain_dot(spark, text, form):
+    span = (text.index(form), 0, text.index(form) + len(form))
+    assert span in pii.candidates(text)
+    assert JUDGE.added(text, pii.base_spans(text)) == [span]
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert pii.find(df, judge=JUDGE).first().spans == f"email:{span[0]}:{span[2]}"
+    assert pii.redact(df, judge=JUDGE).first().text == text.replace(form, "<EMAIL>")
+
+
+@pytest.mark.parametrize("text", ["they met at home. In the morning it rained", "look at it. Then go", "we stayed at the inn. It was late", "at noon. De la casa"])
+def test_plain_at_before_a_sentence_end_stays(text):
+    assert JUDGE.added(text, pii.base_spans(text)) == []
+
+
+def test_every_positive_form_is_a_candidate():
+    import numpy as np
+
+    forms = pii._forms(np.random.default_rng(11))
+    for kind, form, label in (next(forms) for _ in range(8000)):
+        assert not label or (0, kind, len(form)) in pii.candidates(form), form
+
+
 @pytest.mark.parametrize("text", ["", "plain words only", "number 9739312764672899 here", 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"', "at 10:30:00 on 2024-01-15", "version 1.2.3.4.5", "look at the dot on it", "under the Apache License, Version 2.0."])
 def test_harmless_text_stays(text):
     assert JUDGE.added(text, pii.base_spans(text)) == []
