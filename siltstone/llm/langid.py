@@ -7,7 +7,7 @@ the sum taken as the mean per word times at most ``EVIDENCE`` words.
 
 The model is fitted on a bounded sample of labelled rows, at most about ``max_train_rows`` per language by a hash of the id,
 and keeps at most ``max_words`` words and ``max_grams`` n-grams per length and language: that bounds what is sent to the
-workers. Predictions cover every row and every text as a whole.
+workers. What was seen once counts too. Predictions cover every row and every text as a whole.
 """
 
 from __future__ import annotations
@@ -60,18 +60,20 @@ class Model:
 
 
 def fit(counted: list[tuple[str, str, str, int]]) -> Model:
-    """From rows (lang, kind, item, n); kind is "w" for words, else the order of the n-gram. Each count is set against
-    all counts of its kind and language, with one half added where a language lacks the item."""
+    """From rows (lang, kind, item, n); kind is "w" for words, else the order of the n-gram. Each count, with one half added, is
+    set against all counts of its kind and language, with one half added for every item of the kind in any language and one for others.
+    So a language with few counts comes near to an even share for each item, not to a high floor."""
     langs = sorted({r[0] for r in counted})
     totals: dict[tuple[str, str], int] = Counter()
     counts: dict[tuple[str, str], dict[str, int]] = {}
     for lang, kind, item, n in counted:
         totals[lang, kind] += n
         counts.setdefault((kind, item), {})[lang] = n
+    items = Counter(kind for kind, _ in counts)
     words, ngrams, rows = {}, {}, []
     for (kind, item), by in sorted(counts.items()):
         (words if kind == "w" else ngrams)[item] = len(rows)
-        rows.append([math.log((by.get(lang, 0) + 0.5) / (totals[lang, kind] + 1.0)) for lang in langs])
+        rows.append([math.log((by.get(lang, 0) + 0.5) / (totals[lang, kind] + 0.5 * (items[kind] + 1))) for lang in langs])
     return Model(langs, words, ngrams, np.array(rows, float).reshape(len(rows), len(langs)), np.zeros(len(langs)))
 
 
@@ -104,13 +106,14 @@ def _counted(sample: DataFrame, max_words: int, max_grams: int) -> list[tuple[st
                     for g in grams(word, order):
                         mine[g] += n
             for kind, items in by.items():
-                yield pd.DataFrame({"lang": lang, "kind": kind, "item": list(items), "n": list(items.values())})
+                if items:  # short words have no long n-grams
+                    yield pd.DataFrame({"lang": lang, "kind": kind, "item": list(items), "n": list(items.values())})
 
     from pyspark.sql import Window as W
 
     counts = sample.mapInPandas(partial, "lang string, kind string, item string, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     best = W.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    top = counts.where("n > 1").withColumn("r", F.row_number().over(best)).where(F.col("r") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams))
+    top = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams))
     return [(r.lang, r.kind, r.item, r.n) for r in top.select("lang", "kind", "item", "n").collect()]
 
 

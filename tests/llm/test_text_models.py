@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 
@@ -106,6 +107,25 @@ def test_language_cases(spark):
     assert [r.lang_pred for r in nothing] == ["und"]
 
 
+def test_language_of_one_short_document(spark):
+    rng = random.Random(5)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(150)] for lang, letters in (("en", "thesandiorw"), ("de", "derichunsgk"))}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(40)), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    rare = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 5)
+    df = spark.createDataFrame([*rows, (rare, "kjafti minn vinur", "is")], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict(df).collect()}
+    assert all(got[i].lang_pred == lang and got[i].score > 0.5 for i, _, lang in rows)
+    assert got[rare].lang_pred == "is" and not got[rare].held_out
+
+
+def test_words_seen_once_are_kept(spark):
+    df = spark.createDataFrame([(1, "ab ab cd", "x"), (2, "ef", "y")], "id bigint, text string, lang string")
+    counts = langid.training_counts(df, "id", "text", "lang", 100, 100, 100)
+    assert {(r[0], r[2], r[3]) for r in counts if r[1] == "w"} == {("x", "ab", 2), ("x", "cd", 1), ("y", "ef", 1)}
+    model = langid.fit(counts)  # columns are x, y
+    assert model.word_row("ab")[0] > model.word_row("ab")[1] and model.word_row("cd")[0] > model.word_row("cd")[1] and model.word_row("ef")[1] > model.word_row("ef")[0]
+
+
 def test_unknown_words_back_off():
     model = langid.fit([("en", "w", "the", 5), ("de", "w", "der", 5), ("en", "3", "the", 3), ("de", "3", "der", 3), ("en", "1", "z", 1), ("de", "1", "z", 9)])
     assert model.word_row("the")[1] > model.word_row("the")[0]  # columns are de, en
