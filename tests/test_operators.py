@@ -1,6 +1,8 @@
 """Operators on small literal tables, and sources and sinks."""
 
+import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +117,30 @@ def test_sinks(spark, tmp_path):
     assert text[0] == ",".join(csv_report.FILES) and '"b,""x",,m,4,2,50.00,0.50,OK (replaced),png:50.00% -> zopflipng:1.50%,' in text and text[-1] == "1.00,pipe"
     assert csv_report.console_table(rows).splitlines()[1].startswith("a ")
     assert report.totals(rows).first()[:3] == (2, 4106, 2048)
+
+
+def brute_sessions(rows, gap):
+    """Sessions of each user by a plain loop: an event at most ``gap`` after the last one continues the session, as session_window has it."""
+    out, last = [], {}
+    for user, ts in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        s = last.get(user)
+        if s and ts - s[1] <= gap:
+            s[1], s[2] = ts, s[2] + 1
+        else:
+            last[user] = s = [ts, ts, 1]
+            out.append((user, s))
+    return sorted(((u, a, b + gap, n) for u, (a, b, n) in out), key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_sessions_of_a_bounded_table(spark, tmp_path, parts):
+    from siltstone.streaming.sessions import finished_sessions
+
+    rng, start = random.Random(9), dt.datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 2, 3, None]), start + dt.timedelta(minutes=rng.randrange(3000))) for _ in range(300)] + [(5, start), (5, start + dt.timedelta(minutes=30)), (6, None)]
+    df = spark.createDataFrame(rows, "user_id bigint, ts timestamp_ntz")
+    df.repartition(parts).write.parquet(str(tmp_path / ("events.parquet" if parts > 1 else "out")))
+    if parts == 1:
+        next((tmp_path / "out").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    got = finished_sessions(spark, str(tmp_path), "events.parquet").select("user_id", F.col("starttime").cast("timestamp_ntz"), F.col("endtime").cast("timestamp_ntz"), "n")
+    assert sorted(map(tuple, got.collect()), key=str) == brute_sessions(rows, dt.timedelta(minutes=30))
