@@ -12,6 +12,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import public_tokenizers
@@ -39,13 +40,19 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
 
-def _encoder(vocabulary: str):
+def _encoder(vocabulary: str, added_tokens: bool = False):
     """A function from a text to its ids as little-endian unsigned 32-bit integers. Matches of the pattern go to the library's
-    merging model once each; their ids are remembered, and so are those of the chunks between spaces."""
+    merging model once each; their ids are remembered, and so are those of the chunks between spaces. With
+    ``added_tokens`` a text is cut at the literals of added tokens, which have ids of their own, as in the library by default; where added
+    tokens also take in what is around them, the library does it all."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
     merge, letters = tokenizer.model.tokenize, byte_letters()
+    added = tokenizer.get_added_tokens_decoder() if added_tokens else {}
+    if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+        return lambda text: b"".join([i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids])
+    literals = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
 
     def match_ids(match: str) -> bytes:
         return b"".join([t.id.to_bytes(4, "little") for t in merge(match.encode("utf-8").decode("latin-1").translate(letters))])
@@ -56,14 +63,22 @@ def _encoder(vocabulary: str):
         return b"".join(map(matches, MATCHES.findall(chunk)))
 
     chunked = Chunked(chunk_ids)
-    return lambda text: b"".join(chunked(text))
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(literals, key=len, reverse=True))) + ")").split
 
+    def encode(text: str) -> bytes:
+        for literal in literals:
+            if literal in text:  # every second part is a literal
+                return b"".join([literals[part] if n % 2 else b"".join(chunked(part)) for n, part in enumerate(cut(text))])
+        return b"".join(chunked(text))
 
-def _maker(vocabulary: str, most: int, end_id: int, with_ids: bool):
+    return encode
+
+
+def _maker(vocabulary: str, most: int, end_id: int, with_ids: bool, added_tokens: bool):
     def make():
         from pyspark import TaskContext
 
-        encode, end = _encoder(vocabulary), end_id.to_bytes(4, "little")
+        encode, end = _encoder(vocabulary, added_tokens), end_id.to_bytes(4, "little")
         task = TaskContext.get()
         task = task.partitionId() if task else 0
         placed = [0] * most.bit_length()
@@ -84,17 +99,18 @@ def _maker(vocabulary: str, most: int, end_id: int, with_ids: bool):
     return make
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = True, added_tokens: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for,
     the piece's ids as little-endian unsigned 32-bit integers.
 
     ``sequence_id`` holds the bucket (log2 of the length) in its highest bits, then the task, then the place in
     the task's run for that bucket, so a bucket is a range of ids and no shuffle is needed to number it.
+    With ``added_tokens``, the literals of the vocabulary's added tokens get their ids; else they are ordinary text.
     """
     if max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
     small_batches(docs.sparkSession)
-    cut = text_udf(_maker(vocabulary or public_tokenizers.path("byte_bpe_50k.json"), max_tokens, end_id, with_ids), PIECES)
+    cut = text_udf(_maker(vocabulary or public_tokenizers.path("byte_bpe_50k.json"), max_tokens, end_id, with_ids, added_tokens), PIECES)
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).select("doc_id", cut("text").alias("pieces"))
     out = rows.select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*", F.lit(0).cast("bigint").alias("offset"))
     return out if with_ids else out.drop("ids")

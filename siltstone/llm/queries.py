@@ -31,7 +31,7 @@ def op5_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False, added_tokens=True)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,3 +120,24 @@ def test_counts(spark):
         assert r.n_words == len(words)
         if r.n_words < 100:
             assert r.n_tokens == sum(greedy(w.encode()[:3000], RANKS) for w in words if len(w) < 200) or any(len(w) >= 200 for w in words)
+
+
+def test_added_token_in_a_text(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x  y", "one\n<|endoftext|>\n two<|endoftext|>", "<|endoftext", "<|<|endoftext|>|>", "é  <|endoftext|>é" * 3]
+    got = {}
+    for r in sorted(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), added_tokens=True).collect(), key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
+def test_query_and_pipeline_take_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from siltstone.llm import queries
+
+    df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op6_packing(spark, str(tmp_path)).first().doc_tokens == 5
+    assert corpus_pipeline.packing_stage(spark, df, str(tmp_path)).first().doc_tokens == 5
