@@ -3,7 +3,8 @@
 A run is a written table (h1, h2, n): the 128-bit hash of a line's key and the number of documents that hold it, one row per
 key, partitioned and sorted by the hash. A batch of documents adds one run to level 0; when a level has ``fanout`` runs they are
 compacted into one run of the next level, so there are few runs at any time and each key is rewritten a logarithmic number of
-times. Lines are judged by merging the runs with them on the hash (both sides sorted): an anti-join.
+times. The ten-document rule needs counts over all batches, so lines meet the merged runs in an equality join
+on the hash; ``unseen`` is the anti-join for a caller that judges batch by batch.
 
 Texts are shuffled once, to meet the positions of their dropped lines; all else moves hashes only. Exact copies of a text share
 one list of positions. A line in a third of all documents is pre-aggregated within each task before it is counted, and meets the
