@@ -79,6 +79,16 @@ def test_descend_ends_in_cycles(spark):
     assert expand.descend(edges, spark.createDataFrame([("a",)], "node string"), max_depth=4).count() == 5
 
 
+def test_descend_reaches_every_depth(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(19)]
+    roots = spark.createDataFrame([("n0",)], "node string")
+    edges = spark.createDataFrame([*chain, ("n19", "n0"), ("n19", "n18")], "parent_id string, child_id string")
+    got = expand.descend(edges, roots).collect()
+    assert sorted((r.node, r.depth) for r in got) == sorted((f"n{i}", i) for i in range(20))
+    twice = spark.createDataFrame([("n0", "a"), ("n0", "b"), ("a", "c"), ("b", "c")], "parent_id string, child_id string")
+    assert sorted((r.node, r.depth) for r in expand.descend(twice, roots).collect()) == [("a", 1), ("b", 1), ("c", 2), ("c", 2), ("n0", 0)]
+
+
 def test_series_and_rasters(spark):
     a = spark.createDataFrame([("s", 0, 1.0), ("s", 1, 2.0), ("t", 0, 1.0), ("u", 0, 1.0)], "sid string, i int, v double")
     b = spark.createDataFrame([("s", 0, 1.0 + 1e-7), ("s", 1, 2.0), ("t", 0, 1.001)], "sid string, i int, v double")
