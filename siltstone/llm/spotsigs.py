@@ -31,18 +31,18 @@ MAX_BUCKETS = 10_000
 
 
 def with_fingerprint(rows: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
-    """Adds the sorted array of the distinct signatures of column ``text``. A text without any is told by one hash of all its words
-    or, if it has none, of itself."""
+    """Adds the sorted array of the distinct signatures of column ``text``. Signatures have 64 bits; a text without any
+    is told by two such hashes of all its words or, if it has none, of itself."""
     anchors = sorted(set(ANCHORS))
     step = rows.withColumn("_words", F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", -1), lambda w: w != ""))
     step = step.withColumn("_content", F.filter("_words", lambda w: ~w.isin(*anchors)))
     step = step.withColumn("_spots", F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(*anchors)))
     # before the j-th anchor, at word i, there are i - j content words
-    chains = F.transform("_spots", lambda s, j: F.when(F.get(F.col("_content"), s["i"] - j).isNotNull(), F.hash(s["w"], *[F.get(F.col("_content"), s["i"] - j + n) for n in range(chain)])))
+    chains = F.transform("_spots", lambda s, j: F.when(F.get(F.col("_content"), s["i"] - j).isNotNull(), F.xxhash64(s["w"], *[F.get(F.col("_content"), s["i"] - j + n) for n in range(chain)])))
     found = F.array_distinct(F.filter(chains, lambda h: h.isNotNull()))
-    whole = F.when(F.size("_words") > 0, F.hash(F.lit("words"), F.array_join("_words", " "))).otherwise(F.hash(F.lit("text"), F.col(text)))
+    whole = lambda n: F.when(F.size("_words") > 0, F.xxhash64(F.lit(f"words{n}"), F.array_join("_words", " "))).otherwise(F.xxhash64(F.lit(f"text{n}"), F.col(text)))
     step = step.withColumn("_found", found)
-    return step.withColumn(out, F.array_sort(F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(whole)))).drop("_words", "_content", "_spots", "_found")
+    return step.withColumn(out, F.array_sort(F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(whole(1), whole(2))))).drop("_words", "_content", "_spots", "_found")
 
 
 def jaccard(a: Column, b: Column, threshold: float = 0.0) -> Column:
@@ -111,7 +111,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document; the edited text's
     last third is the start of the next document, by descending id.
 
-    Cases: a null text is empty. A text without anchors has one signature of all its words, one without words one of itself, so equal
+    Cases: a null text is empty. A text without anchors has two signatures of all its words, one without words two of itself, so equal
     texts always have equal fingerprints and likeness 1. A single document is its own next. Rows with one id are ordered by a hash of
     their texts; null ids come last. Other columns are not read. An empty table gives an empty result.
     """

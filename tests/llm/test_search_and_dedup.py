@@ -150,6 +150,15 @@ def test_fingerprints(spark):
     assert got[10**7 + 2].fingerprint == got[10**7 + 3].fingerprint and got[10**7 + 3].near_next == 1.0
 
 
+@pytest.mark.parametrize("start", ["moss", "the", "!"])
+def test_different_texts_have_different_fingerprints(spark, start):
+    """Among so many texts some agree in a hash of 32 bits."""
+    n = 300_000
+    text = F.translate(F.col("id").cast("string"), "0123456789", "!?;:-+*/()") if start == "!" else F.concat(F.lit(f"{start} w"), F.col("id").cast("string"))
+    sigs = spotsigs.with_fingerprint(spark.range(n).select(text.alias("text")), "text", "sig")
+    assert sigs.select("sig").distinct().count() == n
+
+
 def test_pruned_pairs(spark):
     df = spark.createDataFrame([(list(range(10)), list(range(9))), (list(range(10)), [1, 2]), (list(range(10)), list(range(5, 15)))], "a array<int>, b array<int>")
     assert [round(r.likeness, 6) for r in spotsigs.similar_pairs(df, "a", "b").collect()] == [0.9]
