@@ -1,28 +1,33 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a written table (h1, h2, n): the 128-bit hash of a line's key and the number of documents that hold it, one row per
-key, partitioned and sorted by the hash. A batch of documents adds one run to level 0; when a level has ``fanout`` runs they are
-compacted into one run of the next level, so there are few runs at any time and each key is rewritten a logarithmic number of
-times. The ten-document rule needs counts over all batches, so lines meet the merged runs in an equality join
-on the hash; ``unseen`` is the anti-join for a caller that judges batch by batch.
+A run is a bucketed table (h1, h2, n): the 128-bit hash of a line's key and the number of documents that hold it, one row per
+key, dealt to buckets by the hash and sorted in each. A new batch of documents is counted, merge-anti-joined with the keys that the
+runs have settled (those of at least ``min_docs`` documents), takes over the counts that the runs have of its other keys, and
+becomes a run of level 0 itself. When a level has ``fanout`` runs they are merged into one run of the next level, so there are few
+runs at any time and each key is rewritten a logarithmic number of times. Runs and batches have one bucketing, so these joins
+neither shuffle nor sort. A line is dropped if its key is settled after the last batch.
 
 Texts are shuffled once, to meet the positions of their dropped lines; all else moves hashes only. Exact copies of a text share
-one list of positions. A line in a third of all documents is pre-aggregated within each task before it is counted, and meets the
-runs in an equality join, whose large partitions Spark splits.
+one list of positions. A line in a third of all documents is pre-aggregated within each task before it is counted, then settled by the first
+batch; on the way back to its lines it meets them in an equality join, whose large partitions Spark splits.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import removed, shared_dir, whole_text, written
+from .common import removed, setting, shared_dir, whole_row, whole_text, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BATCHES = 4
-FANOUT = 4
+BATCHES = 5
+FANOUT = 2
 MIN_DOCS = 10
+#: Scans of a bucketed table with one file for each bucket are sorted; Spark looks for that only if told.
+SORTED = {"spark__sql__legacy__bucketedTableScan__outputOrdering": "true"}
 
 
 def line_key(line: Column) -> Column:
@@ -34,64 +39,97 @@ def hashed(value: Column, first: str, second: str) -> list[Column]:
     return [F.xxhash64(value).alias(first), F.xxhash64(F.lit(1), value).alias(second)]
 
 
+def partitions(spark: SparkSession) -> int:
+    """How many partitions a shuffle of this session has at first."""
+    return int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 class LineRuns:
-    """A levelled store of sorted runs in a shared folder."""
+    """A levelled store of sorted runs in a shared folder, for one threshold.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout = spark, path or shared_dir(spark), fanout
+    Rows are (h1, h2, n), one for each key of a run. n is the number of documents with that key in all batches up to the run's own, so the
+    entry of the newest run counts. A key with ``min_docs`` documents is settled: later batches drop it by an anti-join, so it has one entry.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, min_docs: int = MIN_DOCS):
+        if fanout < 2:
+            raise ValueError("fanout must be at least 2")
+        self.spark, self.path, self.fanout, self.min_docs = spark, path or shared_dir(spark), fanout, min_docs
+        self.buckets = partitions(spark)
         self.levels: list[list[str]] = []
-        self.made = 0
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = f"{self.path}/level-{level}-run-{self.made}"
-        self.made += 1
-        rows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).sortWithinPartitions("h1", "h2").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+    def _write(self, rows: DataFrame) -> str:
+        """A run from rows that are dealt by the hash of h1 and h2 already: one sorted file for each bucket."""
+        name = f"siltstone_run_{uuid.uuid4().hex}"
+        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"drop table {name}")
+        removed(self.spark, f"{self.path}/{name}")
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
+
+    def met(self, batch: DataFrame) -> DataFrame:
+        """A batch (h1, h2, n), bucketed like the runs, after meeting them all: without the settled keys, and with the documents
+        counted before. Both sides of each merge join are sorted by bucket, so nothing is shuffled or sorted."""
+        batch = batch.select("h1", "h2", "n", F.lit(0).cast("bigint").alias("before"))
+        for run in self.runs():
+            batch = batch.join(run.where(F.col("n") >= self.min_docs).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            older = run.where(F.col("n") < self.min_docs).select("h1", "h2", F.col("n").alias("m"))
+            batch = batch.join(older.hint("merge"), ["h1", "h2"], "left").select("h1", "h2", "n", F.greatest("before", "m").alias("before"))
+        return batch.select("h1", "h2", (F.col("n") + F.col("before")).alias("n"))
+
+    def _take(self, batch: DataFrame) -> None:
+        with setting(self.spark, **SORTED):
+            self.levels = self.levels or [[]]
+            self.levels[0].append(self._write(self.met(batch)))
+            level = 0
+            while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
+                old, self.levels[level] = self.levels[level], []
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(self._compacted(old))
+                level += 1
+
+    def _compacted(self, names: list[str]) -> str:
+        """One run of several, by merging two at a time."""
+        whole = names[0]
+        for name in names[1:]:
+            newer = self.spark.table(name).select("h1", "h2", F.col("n").alias("m"))
+            merged = self._write(self.spark.table(whole).join(newer.hint("merge"), ["h1", "h2"], "full_outer").select("h1", "h2", F.greatest("n", "m").alias("n")))
+            self._drop(whole)
+            self._drop(name)
+            whole = merged
+        return whole
 
     def add(self, keys: DataFrame) -> None:
         """Adds a batch: rows (h1, h2), one for each document and key."""
-        self._write(keys.select("h1", "h2", F.lit(1).cast("bigint").alias("n")), 0)
-        self._compact()
+        self.add_all(keys.select(F.lit(0).alias("batch"), "h1", "h2"), 1)
 
     def add_all(self, keys: DataFrame, batches: int) -> None:
-        """Adds rows (batch, h1, h2) of several batches, numbered from 0, in one pass over the input: a run for each."""
-        path = f"{self.path}/level-0-batches-{self.made}"
-        self.made += 1
-        counted = keys.groupBy("batch", "h1", "h2").agg(F.count("*").alias("n"))
-        counted.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(path)
-        rows = self.spark.read.schema("h1 bigint, h2 bigint, n bigint, batch int").parquet(path)
-        for b in sorted(r.batch for r in rows.select("batch").distinct().collect()):
-            self.levels = self.levels or [[]]
-            self.levels[0].append(f"{path}/batch={b}")
-            self._compact()
-
-    def _compact(self) -> None:
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            self._write(self._read(old), level + 1)
-            for path in old:
-                removed(self.spark, path)
-            level += 1
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 bigint, h2 bigint, n bigint").parquet(*paths)
-
-    def merged(self) -> DataFrame:
-        """One row per key over all runs: h1, h2, n."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], "h1 bigint, h2 bigint, n bigint")
-        return self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-
-    def frequent(self, min_docs: int) -> DataFrame:
-        return self.merged().where(F.col("n") >= min_docs).select("h1", "h2")
-
-    def unseen(self, lines: DataFrame, min_docs: int = 1) -> DataFrame:
-        """The rows of ``lines`` (with h1, h2) whose key fewer than ``min_docs`` documents of the runs hold."""
-        return lines.join(self.frequent(min_docs), ["h1", "h2"], "left_anti")
+        """Adds batches one after another. Rows (batch, h1, h2), batches numbered from 0, are counted and bucketed in one pass over the
+        input; then each batch meets the runs before its own run joins them."""
+        counts = [F.count_if(F.col("batch") == b).alias(f"n{b}") for b in range(batches)]
+        staged = self._write(keys.groupBy("h1", "h2").agg(*counts))
+        for b in range(batches):
+            self._take(self.spark.table(staged).where(f"n{b} > 0").select("h1", "h2", F.col(f"n{b}").alias("n")))
+        self._drop(staged)
+
+    def frequent(self) -> DataFrame:
+        """h1, h2 of the settled keys, each once."""
+        out = self.spark.createDataFrame([], "h1 bigint, h2 bigint")
+        for run in self.runs():
+            out = out.union(run.where(F.col("n") >= self.min_docs).select("h1", "h2"))
+        return out
+
+    def drop(self) -> None:
+        """Deletes all runs."""
+        for level in self.levels:
+            for name in level:
+                self._drop(name)
+        self.levels = []
 
 
 def line_keys(docs: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -101,13 +139,11 @@ def line_keys(docs: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def add_documents(runs: LineRuns, docs: DataFrame, text_col: str = "text", batches: int = 1) -> None:
-    """Adds the keys of the documents' lines. With several batches, a document's batch comes from its text's hash."""
+    """Adds the keys of the documents' lines. With several batches, a document's batch comes from its text's hash. Null texts have no
+    keys; repeated rows count each; an empty table adds an empty run."""
     rows = docs.select(whole_text(text_col).alias("text"))
-    if batches == 1:
-        runs.add(line_keys(rows, "text"))
-    else:
-        rows = rows.withColumn("batch", F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(batches)).cast("int"))
-        runs.add_all(line_keys(rows, "text", "batch"), batches)
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(batches)).cast("int"))
+    runs.add_all(line_keys(rows, "text", "batch"), batches)
 
 
 def _positions(rows: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -118,36 +154,36 @@ def _positions(rows: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, and _n_lines, _n_dropped and _kept: the text without the lines whose key (h1, h2) is in ``frequent``."""
-    rows = docs.withColumn("_text", whole_text(text_col))
-    hashes = rows.select("*", *hashed(F.col("_text"), "_t1", "_t2"))
+    """row (a struct of all columns of ``docs``), n_lines, n_dropped and kept: the text without the lines whose key (h1, h2) is in ``frequent``."""
+    text = F.coalesce(F.col("row").getItem(text_col).cast("string"), F.lit(""))
+    hashes = docs.select(whole_row(docs)).select("row", *hashed(text, "t1", "t2"))
     # written, so that the join below has a shuffle of its own on both sides and Spark can split a text with many copies
-    found = written(_positions(hashes.select(F.col("_text").alias("text"), F.col("_t1").alias("t1"), F.col("_t2").alias("t2")), frequent))
-    joined = hashes.join(found.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("dropped").alias("_dropped")), ["_t1", "_t2"], "left")
-    split = joined.withColumn("_lines", F.split("_text", "\n", -1))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped"))
-    kept = F.when(F.col("_dropped").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    out = split.withColumn("_n_lines", F.size("_lines").cast("bigint")).withColumn("_n_dropped", F.coalesce(F.size(F.col("_dropped")), F.lit(0)).cast("bigint")).withColumn("_kept", kept)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_n_lines", "_n_dropped", "_kept")
+    found = written(_positions(docs.select(whole_text(text_col).alias("text")).select("text", *hashed(F.col("text"), "t1", "t2")), frequent))
+    joined = hashes.join(found, ["t1", "t2"], "left").select("row", "dropped", text.alias("text")).withColumn("lines", F.split("text", "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    return joined.select("row", F.size("lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"), kept.alias("kept"))
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text", batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """All columns of ``docs``, and _n_lines, _n_dropped, _kept. A line whose key occurs in at least ``min_docs`` documents is
+    """row (a struct of all columns of ``docs``), n_lines, n_dropped, kept. A line whose key occurs in at least ``min_docs`` documents is
     dropped from every document.
 
     Cases: a null or empty text is one empty line, which stays. A document counts once for a key however often it holds it; repeated
-    rows are documents of their own. Columns of ``docs`` named like the three added ones, or starting with _text, _t1, _t2, _lines
-    or _dropped, must be renamed first; the query and the pipeline select their columns before. An empty table gives an empty result.
+    rows are documents of their own; nulls elsewhere stay. Other columns may have any names, since they stay inside row. An empty table
+    gives an empty result.
     """
-    runs = LineRuns(docs.sparkSession, fanout=fanout)
+    runs = LineRuns(docs.sparkSession, fanout=fanout, min_docs=min_docs)
     add_documents(runs, docs, text_col, batches)
-    return without_lines(docs, written(runs.frequent(min_docs)), text_col)
+    frequent = written(runs.frequent())
+    runs.drop()
+    return without_lines(docs, frequent, text_col)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return drop_frequent_lines(rows, min_docs, "text", batches).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+    return drop_frequent_lines(rows, min_docs, "text", batches).select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def line_report_sql(min_docs: int = MIN_DOCS) -> str:
