@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, text_udf, whole_text, written
-from .darts import band_keys, shingle_cells, similarity, sketch
+from .common import fields, forget, quoted, small_batches, text_udf, whole_row, whole_text, written
+from .darts import band_keys, shingle_cells, shingle_weights, similarity, sketch
 
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
+PARTS = 64
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -38,10 +39,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def make():
         def each(texts: list) -> list:
             np.seterr(over="ignore")
-            cells = [shingle_cells(t, width) for t in texts]
-            owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
-            keys = band_keys(sketch(np.concatenate(cells), owner, len(cells), bands * rows), bands, rows)
-            return [k if len(c) else [] for k, c in zip(keys, cells, strict=True)]
+            sets = [shingle_weights(t, width) for t in texts]
+            owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+            elements, weights = (np.concatenate(x) for x in zip(*sets, strict=True))
+            keys = band_keys(sketch(elements, weights, owner, len(sets), bands * rows), bands, rows)
+            return [k if len(e) else [] for k, (e, _) in zip(keys, sets, strict=True)]
 
         return lambda texts: each(texts) if texts else []
 
@@ -67,8 +69,11 @@ def _compare(pairs: DataFrame, texts: DataFrame, width: int, threshold: float, w
                 out.append((linked, len(left), len(right), np.setxor1d(left, right, assume_unique=True).view(np.int64) if with_difference else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.list_(pa.int64()))], names=["a", "b", "linked", "na", "nb", "difference"])
 
-    half = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = half.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    # a centre may have a share of all pairs, so its pairs are dealt to parts, each with a copy of its text
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(PARTS)).alias("part"))
+    half = dealt.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    centres = dealt.select("a", "part").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = half.join(centres, ["a", "part"])
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, linked boolean, na bigint, nb bigint, difference array<bigint>")
 
 
@@ -111,36 +116,35 @@ def _others(stars: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node of each node's component, for the nodes that edges (a, b) name."""
-    spark = edges.sparkSession
+    """node, root: the least node of each node's component, for the nodes that edges (a, b) name. Rows with a null have no edge; repeated edges
+    count once; without edges there are no nodes."""
+    edges = edges.where("a is not null and b is not null")
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"))
     while True:
         heard = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("heard"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = labels.join(heard.withColumnRenamed("a", "node"), "node").join(jump, "root", "left")
+        new = labels.select("node", "root").join(heard.withColumnRenamed("a", "node"), "node").join(jump, "root", "left")
         new = written(new.select("node", F.col("root").alias("old"), F.least("root", "heard", F.coalesce("far", "root")).alias("root")))
-        labels = new.select("node", "root")
+        forget(labels)
+        labels = new
         if new.where("old != root").isEmpty():
-            return labels
+            forget(both)
+            return new
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id and class_id of each row: the least doc_id among the documents that links of at least the threshold join.
-
-    Cases: equal texts are always of one class; null counts as empty. Texts without words are linked to equal texts only; texts of fewer
-    words than a shingle are one shingle of all their words. Rows that share a doc_id count as one document, so their texts are of one class. A null
-    doc_id has no class (null) and takes no part. Other columns are not read. An empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id and class_id, and the written tables that they are read from."""
     found = written(sketches(docs, id_col, text_col, width, bands, rows))
     named = found.where("doc_id is not null")
     # written, so that joins with it have a shuffle of their own on both sides and Spark can split a text with many copies
     same = written(named.groupBy("t1", "t2").agg(F.min("doc_id").alias("node")))
     heads = written(named.join(same, ["t1", "t2"]).where("doc_id = node").select("node", "bands").distinct())
     buckets = _buckets(heads)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
+    texts = docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
     texts = texts.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    stars = written(_compare(_stars(buckets), texts, width, threshold, True))
+    spokes = written(_stars(buckets))
+    stars = written(_compare(spokes, texts, width, threshold, True))
     pairs = written(_others(stars, threshold))
     more = written(_compare(pairs, texts, width, threshold, False).select("a", "b", "linked"))
     links = stars.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
@@ -148,20 +152,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one doc_id with several texts ties their heads together
     least = copies.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
     ties = copies.join(least.select("doc_id", "a"), "doc_id").where("node != a").select("a", F.col("node").alias("b")).distinct()
-    classes = components(links.union(ties))
-    out = found.select("doc_id", "t1", "t2").join(same, ["t1", "t2"], "left").join(classes, "node", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("class_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, without near-duplicates: of each class the row of the least doc_id stays, once. Rows without
-    doc_id stay."""
-    classes = written(near_duplicates(docs, id_col, text_col, **options), shared_dir(docs.sparkSession))
-    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    repeated = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(id_col))
-    if repeated.isEmpty():
-        return kept
-    first = W.partitionBy(id_col).orderBy(F.xxhash64(whole_text(text_col)))
-    twice = kept.join(repeated, id_col, "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    return kept.join(repeated, id_col, "left_anti").unionByName(twice)
+    labels = components(links.union(ties))
+    forget(heads, buckets, spokes, stars, pairs, more)
+    out = found.select("doc_id", "t1", "t2").join(same, ["t1", "t2"], "left").join(labels.select("node", "root"), "node", "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("class_id")), [found, same, labels]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id and class_id of each row: the least doc_id among the documents that links of at least the threshold join.
+
+    Cases: equal texts are always of one class; null counts as empty. Texts without words are linked to equal texts only; texts of fewer
+    words than a shingle are one shingle of all their words. Rows that share a doc_id count as one document, so their texts are of one class. A null
+    doc_id has no class (null) and takes no part. Other columns are not read. An empty table gives an empty result.
+    """
+    return _classes(docs, id_col, text_col, width, threshold, bands, rows)[0]
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, without near-duplicates: of each class the row of the least doc_id stays,
+    once (of several rows with that doc_id the one whose text has the least hash). Rows without doc_id stay. An empty table stays empty."""
+    found, tables = _classes(docs, id_col, text_col, width, threshold, bands, rows)
+    classes = written(found)
+    forget(*tables)
+    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("key")).distinct()
+    kept = docs.select(whole_row(docs), F.col(quoted(id_col)).cast("bigint").alias("key")).join(gone, "key", "left_anti")
+    repeated = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("key"))
+    if not repeated.isEmpty():
+        first = W.partitionBy("key").orderBy(F.xxhash64(F.coalesce(F.col("row").getItem(text_col).cast("string"), F.lit(""))))
+        twice = kept.join(repeated, "key", "left_semi").withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+        kept = kept.join(repeated, "key", "left_anti").unionByName(twice)
+    return kept.select(*fields(docs))
