@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,10 +28,28 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def quoted(name: str) -> str:
+    """A column's name as an identifier, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a table as one struct, row, so that no name of theirs can clash with a working column."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")
+
+
+def fields(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of the struct row, in order, those that are named with new values."""
+    return [changed.get(c, F.col("row").getItem(c)).alias(c) for c in docs.columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder in the one that the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one of a local
+    session; a cluster without it raises."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(spark.sparkContext, "_siltstone_scratch", None)
         if not base:
             base = spark.sparkContext._siltstone_scratch = tempfile.mkdtemp(prefix="siltstone-")
@@ -43,7 +62,29 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or shared_dir(spark)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that no later step reads."""
+    for t in tables:
+        removed(t.sparkSession, t._written_at)
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings for as long as the block runs; double underscores stand for dots."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def removed(spark: SparkSession, path: str) -> None:

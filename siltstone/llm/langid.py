@@ -85,8 +85,8 @@ def training_counts(labelled: DataFrame, id_col: str, text_col: str, lang_col: s
     for lang, n in sorted(sizes.items()):
         if n > max_train_rows:
             rate = F.when(F.col("lang") == lang, F.lit(-(-n // max_train_rows)).cast("bigint")).otherwise(rate)
-    # by id, so that copies of one text are neither all in nor all out
-    sample = rows.where(F.pmod(F.xxhash64("key"), rate) == 0)
+    # by id, so that copies of one text are neither all in nor all out; rows without id by text
+    sample = rows.where(F.pmod(F.xxhash64(F.coalesce("key", F.concat(F.lit("text:"), "text"))), rate) == 0)
     return _counted(sample, max_words, max_grams)
 
 
@@ -113,7 +113,8 @@ def _counted(sample: DataFrame, max_words: int, max_grams: int) -> list[tuple[st
 
     counts = sample.mapInPandas(partial, "lang string, kind string, item string, n bigint").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     best = W.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    top = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams))
+    # the literal limit applies before the shuffle, too
+    top = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= max(max_words, max_grams)).where((F.col("kind") == "w") & (F.col("r") <= max_words) | (F.col("kind") != "w") & (F.col("r") <= max_grams))
     return [(r.lang, r.kind, r.item, r.n) for r in top.select("lang", "kind", "item", "n").collect()]
 
 

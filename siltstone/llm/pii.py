@@ -5,9 +5,9 @@ address written with "at" and "dot", a phone number without its plus, a card num
 Boosted trees judge each by its format and its context; their calibrated probability must reach a threshold
 set for each kind. What passes is taken best first where it overlaps neither a fixed match nor a better one.
 
-The trees are fitted in the driver on at most ``sample_rows`` documents (chosen by a hash of the text, so the same
+The trees are fitted in the driver on pieces of at most ``sample_rows`` documents (chosen by a hash of the text, so the same
 ones each time): their words are the contexts, into which written forms of personal data and of harmless look-alikes
-are put. All else covers every document and every text as a whole.
+are put. The name before an "at" has at most 64 characters, as the mail standard says. All else covers every document and every text as a whole.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .common import small_batches, text_udf, whole_text
+from .common import quoted, small_batches, text_udf, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, index of the kind, end
 
 SAMPLE_ROWS = 4000
+CONTEXT_CHARS = 160
 MIN_PRECISION = 0.98
 
 _LOOSE_AT = re.compile(r"(?i)[@＠]|(?<![a-z])at(?![a-z])")
@@ -246,11 +247,14 @@ def fit_judge(contexts: list[str], examples: int = 4000, seed: int = 7, min_prec
     return Judge(trees, thresholds)
 
 
-def sample_contexts(docs: DataFrame, text_col: str, sample_rows: int) -> list[str]:
-    """Starts of about ``sample_rows`` texts, by hash: only neighbours for the made-up examples, nothing else is learned from them."""
+def sample_contexts(docs: DataFrame, text_col: str, sample_rows: int, context_chars: int = CONTEXT_CHARS) -> list[str]:
+    """Pieces of ``context_chars`` characters from anywhere in about ``sample_rows`` texts, both by hash: neighbours for the made-up examples;
+    nothing else is learned from them."""
     n = docs.count()
     rate = max(1, -(-n // max(1, sample_rows)))
-    rows = docs.select(whole_text(text_col).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(rate)) == 0).select(F.substring("t", 1, 160).alias("c")).where("length(c) > 0").distinct()
+    rows = docs.select(whole_text(text_col).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(rate)) == 0)
+    start = F.pmod(F.xxhash64(F.lit(3), "t"), F.greatest(F.length("t") - context_chars, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select(F.substring("t", start, F.lit(context_chars)).alias("c")).where("length(c) > 0").distinct()
     return sorted(r.c for r in rows.orderBy(F.xxhash64("c"), "c").limit(sample_rows).collect())
 
 
@@ -296,7 +300,11 @@ def redact_text(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, judge: Judge | None = None) -> DataFrame:
-    """The rows with personal data in their text replaced by marks such as <EMAIL>. Null texts stay null; all other columns stay."""
+    """The rows with personal data in their text replaced by marks such as <EMAIL>; all other columns stay.
+
+    Cases: null and empty texts stay as they are; so do texts without personal data. Rows are independent, so repeated rows
+    repeat and null ids stay. Other columns may have any names. An empty table gives an empty result.
+    """
     judge = judge or fit_judge(sample_contexts(docs, text_col, sample_rows))
 
     def make():
@@ -309,4 +317,5 @@ def redact(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_RO
         return lambda texts: [one(t) for t in texts]
 
     small_batches(docs.sparkSession)
-    return docs.withColumn(text_col, text_udf(make, "string")(F.col(text_col)))
+    clean = text_udf(make, "string")(F.col(quoted(text_col)))
+    return docs.select(*[(clean if c == text_col else F.col(quoted(c))).alias(c) for c in docs.columns])
