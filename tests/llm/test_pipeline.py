@@ -70,6 +70,28 @@ def test_run_is_brute_force(spark, tmp_path):
     assert got == want
 
 
+CLASHING = ["_judged", "_text", "_kept", "_t1", "T1", "_lines", "row", "lines", "kept", "key", "r", "_r", "a.b", "judged", "class_id", "dropped", "a`b"]
+
+
+@pytest.mark.parametrize("name,stage", P.STAGES)
+def test_stages_keep_any_column_and_take_odd_rows(spark, name, stage):
+    schema = DOCS + "".join(f", `{c.replace('`', '``')}` string" for c in CLASHING)
+    more = [f"value of {c}" for c in CLASHING]
+    text = "the stone and the river lie under the hills of moss and fern where the old road bends"
+    rows = [(1, text, "en", "s", 1, *more), (1, text, "en", "s", 1, *more), (1, "another text of the same number", "en", "s", 1, *more), (None, text, "en", None, None, *more), (None, None, None, None, None, *more), (2, None, "en", "s", 0, *more), (3, "", None, "s", 0, *more), (4, "wort " * 100_000, "de", "s", 0, *more)]
+    out = stage(spark, spark.createDataFrame(rows, schema), "")
+    if name == "packing":
+        assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, None}
+    else:
+        assert out.columns == spark.createDataFrame([], schema).columns
+        got = out.collect()
+        assert all(list(r)[5:] == more for r in got)
+        ids = sorted((r.doc_id or 0) for r in got)
+        assert ids == {"language": [0, 1, 1, 1, 4], "lines": [0, 0, 1, 1, 1, 2, 3, 4], "near_duplicates": [0, 0, 1, 2, 4], "personal_data": [0, 0, 1, 1, 1, 2, 3, 4]}[name]
+    empty = stage(spark, spark.createDataFrame([], schema), "")
+    assert empty.count() == 0
+
+
 OPERATORS = {
     "pii": lambda d: pii.find(d, judge=pii.Judge(pii.BoostedTrees(), [1.1] * 4)),
     "langid": langid.predict,

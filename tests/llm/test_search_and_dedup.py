@@ -47,9 +47,20 @@ def test_sketches_estimate_weighted_jaccard():
             both = int(2 * n * share / (1 + share))
             ids = darts.mix(rng.integers(0, 1 << 62, 2 * n).astype(np.uint64))
             a, b = ids[:n], ids[n - both : 2 * n - both]
-            s = darts.sketch(np.r_[a, b], np.repeat([0, 1], n), 2, 96)
+            s = darts.sketch(np.r_[a, b], np.ones(2 * n), np.repeat([0, 1], n), 2, 96)
             same.append((s[0] == s[1]).mean())
         assert abs(np.mean(same) - share) < 0.03
+    # real weights: the lesser over the greater ones
+    for scale in (0.05, 1.0, 9.0):
+        same, want = [], []
+        for _ in range(20):
+            ids = darts.mix(rng.integers(0, 1 << 62, 300).astype(np.uint64))
+            x, y = rng.uniform(0.4, 3, 300) * scale, rng.uniform(0.4, 3, 300) * scale
+            s = darts.sketch(np.r_[ids, ids], np.r_[x, y], np.repeat([0, 1], 300), 2, 96)
+            same.append((s[0] == s[1]).mean()), want.append(np.minimum(x, y).sum() / np.maximum(x, y).sum())
+        assert abs(np.mean(same) - np.mean(want)) < 0.03
+    with pytest.raises(ValueError):
+        darts.sketch(ids, np.zeros(300), np.zeros(300, int), 1, 96)
     # repeated shingles count as often as both sides have them
     a, b = darts.shingle_cells("a b c d e " * 4), darts.shingle_cells("a b c d e " * 3)
     assert len(a) == 16 and len(b) == 11 and darts.similarity(a, b) == 11 / 16
@@ -68,23 +79,36 @@ def test_lines(spark, batches, fanout):
     rows = [(i, "\n".join(rng.choice(pool + [f"own {i}", "x" * rng.randrange(4)]) for _ in range(rng.randrange(1, 8)))) for i in range(60)] + [(90, None), (91, ""), (92, "\n\n"), (93, "foo\r\nbar"), (94, "foo\n" * 3000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, n_lines int")
     out = line_dedup.drop_frequent_lines(df, 10, batches=batches, fanout=fanout).collect()
-    got = {r.doc_id: (r._n_lines, r._n_dropped, hashlib.sha256(r._kept.encode()).hexdigest()) for r in out}
+    got = {r.row.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out}
     want = {i: (n, n - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()) for i, (n, stay) in kept_lines(rows, 10).items()}
-    assert got == want and all(r.n_lines == 1 for r in out)
+    assert got == want and all(r.row.n_lines == 1 for r in out)
 
 
 def test_runs_by_batch(spark):
-    """Batches one after another: each is held against the runs before it is added, and levels are compacted."""
-    runs, seen = line_dedup.LineRuns(spark, fanout=2), set()
-    for b in range(5):
-        batch = spark.createDataFrame([(f"line {b}\nline {b // 2}\nline {b + 1}",)], "text string")
-        lines = line_dedup.line_keys(batch, "text")
-        mine = {f"line {b}", f"line {b // 2}", f"line {b + 1}"}
-        assert runs.unseen(lines).count() == len(mine - seen)
-        line_dedup.add_documents(runs, batch)
-        seen |= mine
+    """Batches one after another: each drops what the runs have settled, takes over their counts, and levels are compacted."""
+    runs, count = line_dedup.LineRuns(spark, fanout=2, min_docs=3), {}
+    for b in range(7):
+        mine = {f"line {b}", f"line {b // 2}", f"line {b + 1}", "hot"}
+        line_dedup.add_documents(runs, spark.createDataFrame([("\n".join(sorted(mine)),)], "text string"))
+        for k in mine:
+            count[k] = count.get(k, 0) + 1
+        hashes = {k: spark.range(1).select(*line_dedup.hashed(F.lit(k), "h1", "h2")).first() for k in count}
+        assert {(r.h1, r.h2) for r in runs.frequent().collect()} == {tuple(hashes[k]) for k, n in count.items() if n >= 3}
+        assert runs.frequent().count() == sum(n >= 3 for n in count.values())
         assert all(len(level) < 2 for level in runs.levels)
-    assert runs.merged().count() == len(seen)
+    assert len(runs.runs()) == 3  # seven batches: levels 0, 1 and 2
+    runs.drop()
+
+
+def test_runs_are_met_without_shuffle_or_sort(spark):
+    runs = line_dedup.LineRuns(spark, fanout=3, min_docs=2)
+    for b in range(2):
+        line_dedup.add_documents(runs, spark.createDataFrame([(f"line {i}",) for i in range(b, 200)], "text string"))
+    with line_dedup.setting(spark, **line_dedup.SORTED):
+        met = runs.met(runs.runs()[1])
+        plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 4 and "LeftAnti" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.drop()
 
 
 def brute_nearest(ids, vectors, k=10):
