@@ -16,12 +16,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_BAD = 0.5
 Z = 1.645
 
-#: Public suffixes of two labels. Fixed values; others are one label.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "gov.uk", "net.au", "org.au", "org.uk")
+#: Labels under which countries register domains: with a country's two letters they make a suffix of two labels. Fixed values.
+COUNTRY_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch")
+_TWO_LABELS = rf"^({'|'.join(COUNTRY_LABELS)})\.[a-z][a-z]$"
 
 
 @dataclass(frozen=True)
@@ -55,10 +58,12 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Col
     return out
 
 
-def suffix_of(host: Column) -> Column:
-    """The public suffix of a host without port and user; the host itself if it is a number address or one label."""
-    two = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    return F.when(host.rlike(r"^[0-9.]+$|^\[|^[^.]*$"), host).when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.regexp_extract(host, r"([^.]+)$", 1))
+def suffix_of(host: Column, more: tuple[str, ...] = ()) -> Column:
+    """The public suffix of a host without port and user: a label of COUNTRY_LABELS with a country, else the last label; the host itself if it
+    is a number address or one label. ``more`` names further suffixes, of two or three labels, that hold sites of many owners."""
+    three, two = (F.regexp_extract(host, rf"((?:[^.]+\.){{{n}}}[^.]+)$", 1) for n in (2, 1))
+    known = F.when(three.isin(*[m for m in more if m.count(".") == 2]), three).when(two.isin(*[m for m in more if m.count(".") == 1]), two) if more else F.lit(None).cast("string")
+    return F.when(host.rlike(r"^[0-9.]+$|^\[|^[^.]*$"), host).otherwise(F.coalesce(known, F.when(two.rlike(_TWO_LABELS), two), F.regexp_extract(host, r"([^.]+)$", 1)))
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
@@ -67,8 +72,8 @@ def domain_of(host: Column, suffix: Column) -> Column:
     return F.when(host == suffix, host).otherwise(F.concat(F.regexp_extract(rest, r"([^.]+)$", 1), F.lit("."), suffix))
 
 
-def _strength(groups: DataFrame) -> DataFrame:
-    """One row: the prior strength of a level from its groups' n and bad, by moments; between 1 and 1000."""
+def _strength(groups: DataFrame) -> float:
+    """The prior strength of a level from its groups' n and bad, by moments; between 1 and 1000."""
     t = groups.where("n > 0").agg(F.count("*").alias("g"), F.sum("n").alias("t"), F.sum("bad").alias("k"), F.sum(F.col("n") * F.col("n")).alias("q"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("r"))
     p = F.col("k") / F.nullif(F.col("t"), F.lit(0))
     between = F.col("r") - F.col("t") * p * p
@@ -77,30 +82,35 @@ def _strength(groups: DataFrame) -> DataFrame:
     rho = (between - v * (F.col("g") - 1)) / F.nullif(chance, F.lit(0.0))
     rho = F.greatest(F.lit(0.000999000999000999), F.least(F.lit(0.5), F.coalesce(F.when(F.col("g") > 1, rho), F.lit(0.0))))
     # no prior is stronger than the labels that it comes from
-    return t.select(F.least((1 - rho) / rho, F.coalesce("t", F.lit(0)) + F.lit(2.0)).alias("s"))
+    return t.select(F.least((1 - rho) / rho, F.coalesce("t", F.lit(0)) + F.lit(2.0)).alias("s")).first()["s"]
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = Z, more_suffixes: tuple[str, ...] = ()) -> DataFrame:
     """One row per host: host, domain, suffix, n, bad, bad_mean, bad_bound (the lower one).
 
-    ``hosts`` has the hosts to judge in column host; ``outcomes`` has host and bad (0 or 1), a row for each label.
+    ``hosts`` has the hosts to judge in column host; ``outcomes`` has host and bad (0 or 1), a row for each label. Counts of hosts are written
+    once; the prior mean of all pages and the strength of each level are four numbers, read by the driver.
+
+    Cases: a null host is left out, an empty one is a host; outcomes of null count for nothing; repeated hosts count once, repeated outcomes each.
+    Without outcomes all hosts have the mean one half. Empty tables give an empty result.
     """
-    counted = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("bad"))
-    h = hosts.select("host").distinct().join(counted, "host", "full_outer").fillna(0, ["n", "bad"])
-    h = h.withColumn("bare", F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", "")).withColumn("suffix", suffix_of(F.col("bare")))
-    h = h.withColumn("domain", domain_of(F.col("bare"), F.col("suffix"))).drop("bare")
+    counted = outcomes.where("host is not null").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("bad"))
+    h = hosts.where("host is not null").select("host").distinct().join(counted, "host", "full_outer").fillna(0, ["n", "bad"])
+    h = h.withColumn("bare", F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", "")).withColumn("suffix", suffix_of(F.col("bare"), more_suffixes))
+    h = written(h.withColumn("domain", domain_of(F.col("bare"), F.col("suffix"))).drop("bare"))
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = h.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
-    top = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m0"))
+    top = h.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m")).first()["m"]
 
-    def shrunk(level: DataFrame, strength: DataFrame, mean: str, out: str) -> DataFrame:
-        return level.crossJoin(F.broadcast(strength)).withColumn(out, (F.col("s") * F.col(mean) + F.col("bad")) / (F.col("s") + F.col("n")))
+    def shrunk(strength: float, mean: Column) -> Column:
+        return (F.lit(strength) * mean + F.col("bad")) / (F.lit(strength) + F.col("n"))
 
-    s = shrunk(suffixes.crossJoin(F.broadcast(top)), _strength(suffixes), "m0", "m1").select("suffix", "m1")
-    d = shrunk(domains.join(s, "suffix"), _strength(domains), "m1", "m2").select("domain", "suffix", "m2")
-    out = shrunk(h.join(d, ["domain", "suffix"]), _strength(h), "m2", "bad_mean")
-    sd = F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.col("s") + F.col("n") + 1))
+    own = _strength(h)
+    s = suffixes.select("suffix", shrunk(_strength(suffixes), F.lit(top)).alias("m1"))
+    d = domains.join(s, "suffix").select("domain", "suffix", shrunk(_strength(domains), F.col("m1")).alias("m2"))
+    out = h.join(d, ["domain", "suffix"]).withColumn("bad_mean", shrunk(own, F.col("m2")))
+    sd = F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.lit(own) + F.col("n") + 1))
     return out.withColumn("bad_bound", F.greatest(F.lit(0.0), F.col("bad_mean") - z * sd)).select("host", "domain", "suffix", "n", "bad", "bad_mean", "bad_bound")
 
 
@@ -133,7 +143,6 @@ def judge_sql(rules: tuple[Rule, ...] = RULES, max_bad: float = MAX_BAD, z: floa
     fits = lambda r: f"(host = {_quoted(r.host)} or ends_with(host, {_quoted('.' + r.host)})) and starts_with(path, {_quoted(r.path)})"
     rule = "case " + " ".join(f"when {fits(r)} then {_quoted(r.text)}" for r in ordered) + " end"
     action = "case " + " ".join(f"when {fits(r)} then {_quoted(r.action)}" for r in ordered) + " end"
-    two = ", ".join(map(_quoted, TWO_LABEL_SUFFIXES))
 
     def strength(level: str) -> str:
         return f"""select least((1 - rho) / rho, coalesce(t, 0) + 2.0::double) as s from (select t, greatest(0.000999000999000999, least(0.5, coalesce(case when g > 1 then
@@ -145,7 +154,7 @@ def judge_sql(rules: tuple[Rule, ...] = RULES, max_bad: float = MAX_BAD, z: floa
         marks as (select doc_id as page_id, case when quality = 0 or toxic = 1 then 1 else 0 end as bad from labels where quality is not null or toxic is not null),
         c as (select host, count(*) n, sum(bad)::bigint bad from p join marks using (page_id) group by host),
         h0 as (select host, coalesce(n, 0) n, coalesce(bad, 0) bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') bare from (select distinct host from p) left join c using (host)),
-        h1 as (select *, case when regexp_matches(bare, '^[0-9.]+$|^\\[|^[^.]*$') then bare when regexp_extract(bare, '([^.]+\\.[^.]+)$', 1) in ({two}) then regexp_extract(bare, '([^.]+\\.[^.]+)$', 1) else regexp_extract(bare, '([^.]+)$', 1) end as suffix from h0),
+        h1 as (select *, case when regexp_matches(bare, '^[0-9.]+$|^\\[|^[^.]*$') then bare when regexp_matches(regexp_extract(bare, '([^.]+\\.[^.]+)$', 1), {_quoted(_TWO_LABELS)}) then regexp_extract(bare, '([^.]+\\.[^.]+)$', 1) else regexp_extract(bare, '([^.]+)$', 1) end as suffix from h0),
         h as (select host, n, bad, suffix, case when bare = suffix then bare else regexp_extract(substring(bare, 1, length(bare) - length(suffix) - 1), '([^.]+)$', 1) || '.' || suffix end as domain from h1),
         d as (select domain, suffix, sum(n)::bigint n, sum(bad)::bigint bad from h group by all),
         x as (select suffix, sum(n)::bigint n, sum(bad)::bigint bad from d group by all),
