@@ -150,6 +150,52 @@ def spots(text):
     return out or {("words", *words) if words else ("text", text)}
 
 
+def visited(vectors, asked, factor, shard_rows, k=10):
+    """(distances computed for a query, recall) of the whole search, without Spark."""
+    n = len(vectors)
+    leaves = -(-n // shard_rows)
+    top = vptree.Top.fit(vectors[: max(64, n // 4)], (leaves - 1).bit_length())
+    leaf, trees = top.route(vectors), {}
+    for x in np.unique(leaf):
+        trees[x] = vptree.Tree.build(np.flatnonzero(leaf == x), vectors[leaf == x])
+        top.lo[x], top.hi[x] = top.ranges(x, trees[x].vectors)
+    q, home = vectors[asked], leaf[asked]
+    found = [[] for _ in asked]
+
+    def look(x, rows, within):
+        d, ids = trees[x].search(q[rows], asked[rows], k, factor, within)
+        for r, a, b in zip(rows, d, ids, strict=True):
+            found[r] += [(u, v) for u, v in zip(a, b, strict=True) if np.isfinite(u)]
+
+    for x in trees:
+        rows = np.flatnonzero(home == x)
+        look(x, rows, np.full(len(rows), np.inf))
+    nearest = np.array([sorted(f)[k - 1][0] if len(f) >= k else np.inf for f in found])
+    for x, rows in top.others(q, home, nearest, factor):
+        look(x, rows, nearest[rows])
+    right = 0
+    for r, i in enumerate(asked):
+        d = np.sqrt(((vectors - vectors[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        right += len({v for _, v in sorted(found[r])[:k]} & set(np.lexsort((np.arange(n), d))[:k]))
+    work = sum(t.work for t in trees.values()) + len(asked) * (len(top.paths) - 1)
+    return work / len(asked), right / (k * len(asked))
+
+
+def test_clustered_vectors_are_pruned():
+    """With five times the rows, a query computes far from five times the distances, and finds all."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32)) * 3
+    share = []
+    for n in (4000, 20_000):
+        vectors = centres[rng.integers(60, size=n)] + rng.normal(size=(n, 32)) * 0.3
+        work, recall = visited(vectors, np.arange(0, n, 100), 1.0, 512)
+        assert recall == 1.0
+        share.append(work / n)
+    assert share[0] < 0.5 and share[1] < 0.3
+    assert visited(vectors, np.arange(0, n, 100), 2.0, 512)[1] >= 0.9
+
+
 def test_fingerprints(spark):
     rng = random.Random(4)
     words = ["the", "of", "la", "y", "stone", "river", "moss", "fern", "Árbol", "x1"]
