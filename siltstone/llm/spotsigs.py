@@ -30,17 +30,21 @@ BUCKET_ROWS = 1000
 MAX_BUCKETS = 10_000
 
 
+def _hash(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def with_fingerprint(rows: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
-    """Adds the sorted array of the distinct signatures of column ``text``. Signatures have 64 bits; a text without any
+    """Adds the sorted array of the distinct signatures of column ``text``. Signatures have 60 bits, the first of an MD5; a text without any
     is told by two such hashes of all its words or, if it has none, of itself."""
     anchors = sorted(set(ANCHORS))
     step = rows.withColumn("_words", F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", -1), lambda w: w != ""))
     step = step.withColumn("_content", F.filter("_words", lambda w: ~w.isin(*anchors)))
     step = step.withColumn("_spots", F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(*anchors)))
     # before the j-th anchor, at word i, there are i - j content words
-    chains = F.transform("_spots", lambda s, j: F.when(F.get(F.col("_content"), s["i"] - j).isNotNull(), F.xxhash64(s["w"], *[F.get(F.col("_content"), s["i"] - j + n) for n in range(chain)])))
+    chains = F.transform("_spots", lambda s, j: F.when(F.get(F.col("_content"), s["i"] - j).isNotNull(), _hash(F.concat_ws(" ", s["w"], *[F.get(F.col("_content"), s["i"] - j + n) for n in range(chain)]))))
     found = F.array_distinct(F.filter(chains, lambda h: h.isNotNull()))
-    whole = lambda n: F.when(F.size("_words") > 0, F.xxhash64(F.lit(f"words{n}"), F.array_join("_words", " "))).otherwise(F.xxhash64(F.lit(f"text{n}"), F.col(text)))
+    whole = lambda n: F.when(F.size("_words") > 0, _hash(F.concat(F.lit(f"words{n} "), F.array_join("_words", " ")))).otherwise(_hash(F.concat(F.lit(f"text{n} "), F.col(text))))
     step = step.withColumn("_found", found)
     return step.withColumn(out, F.array_sort(F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(whole(1), whole(2))))).drop("_words", "_content", "_spots", "_found")
 
@@ -64,43 +68,54 @@ def similar_pairs(pairs: DataFrame, a: str, b: str, threshold: float = 0.8) -> D
     return pairs.where(near).withColumn("likeness", jaccard(F.col(a), F.col(b), threshold)).where(F.col("likeness") >= threshold)
 
 
-def _bucket(key: Column, bounds: list) -> Column:
-    """How many of the sorted bounds are at most the key, in two steps of about the root of their number; -1 for null."""
-    if not bounds:
-        return F.when(key.isNull(), -1).otherwise(0)
-    width = max(1, math.isqrt(len(bounds)))
-    every = F.array(*[F.lit(b) for b in bounds])
-    coarse = F.array(*[F.lit(b) for b in bounds[width - 1 :: width]])
-    skipped = F.size(F.filter(coarse, lambda b: b <= key)) * width
-    rest = F.size(F.filter(F.slice(every, skipped + 1, F.lit(width)), lambda b: b <= key))
+def _bucket(key: Column) -> Column:
+    """How many of the sorted array bounds are at most the key, in two steps of about the root of their number; -1 for null."""
+    skipped = F.size(F.filter("coarse", lambda b: b <= key)) * F.col("width")
+    rest = F.size(F.filter(F.slice(F.col("bounds"), skipped + 1, F.col("width")), lambda b: b <= key))
     return F.when(key.isNull(), -1).otherwise(skipped + rest)
 
 
 def with_next(rows: DataFrame, key: str, value: str, derive: Callable[[DataFrame], DataFrame], out: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds, for each column of ``out``, the same column of the next row as next_<column>, by descending key; after the last
-    comes the first. Nulls come last, and equal keys are ordered by a hash of ``value``. ``rows`` has the key and the value;
-    ``derive`` adds columns that depend on the value alone, once for each row.
+    comes the first. Nulls come last, and equal keys are ordered by a hash of ``value``. ``rows`` has the integer key and the value;
+    ``derive`` adds columns that depend on the value alone, once for each row, after the only shuffle of values.
+
+    Rows fall into buckets by quantiles of the key; a key with more rows than a bucket should have, and null, make buckets of their own, cut by
+    the hash. Each bucket is ordered by itself, and also gets the first row of the one that comes after it, so nothing is ordered
+    in one task. Beyond MAX_BUCKETS * bucket_rows rows buckets grow; they are sorted and walked through with spilling.
 
-    Rows fall into buckets by quantiles of the key; each bucket is ordered by itself, and also gets the first row of the bucket
-    that comes after it, so nothing is ordered in one task.
+    Cases: repeated rows follow each other; a single row is its own next; an empty table gives an empty result.
     """
+    spark, rows = rows.sparkSession, rows.withColumn(key, F.col(key).cast("bigint"))
     n = rows.count()
-    buckets = max(1, min(MAX_BUCKETS, -(-n // bucket_rows)))
-    bounds = sorted(set(rows.where(F.col(key).isNotNull()).approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.1 / buckets))) if buckets > 1 else []
-    kind = rows.schema[key].dataType.simpleString()
-    bounds = [int(b) if kind in ("bigint", "int", "smallint", "tinyint") else b for b in bounds]
-    dealt = rows.withColumn("_bucket", _bucket(F.col(key), bounds)).withColumn("_guest", F.lit(False))
-    # one row per bucket: at most MAX_BUCKETS + 1, so they may meet in one task and be broadcast
-    firsts = dealt.groupBy("_bucket").agg(F.max(key).alias("_first"))
-    order = W.orderBy(F.desc("_bucket"))
-    after = firsts.withColumn("_to", F.coalesce(F.lag("_bucket").over(order), F.min("_bucket").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    after = F.broadcast(after.select(F.col("_bucket").alias("_b"), "_first", "_to"))
-    meets = (F.col("_bucket") == F.col("_b")) & F.col(key).eqNullSafe(F.col("_first"))
-    guests = dealt.join(after, meets).groupBy("_to").agg(F.min_by(F.struct(key, value), F.xxhash64(value)).alias("_r"))
-    guests = guests.select(F.col(f"_r.{key}").alias(key), F.col(f"_r.{value}").alias(value), F.col("_to").alias("_bucket"), F.lit(True).alias("_guest"))
-    own = W.partitionBy("_bucket").orderBy("_guest", F.desc_nulls_last(key), F.xxhash64(value))
-    both = derive(dealt.unionByName(guests))
-    return both.select("*", *[F.lead(c).over(own).alias(f"next_{c}") for c in out]).where("not _guest").drop("_bucket", "_guest")
+    most = max(bucket_rows, -(-n // MAX_BUCKETS))
+    buckets = max(1, -(-n // most))
+    bounds = set(map(int, rows.where(F.col(key).isNotNull()).approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.1 / buckets))) if buckets > 1 else set()
+    # fewer than MAX_BUCKETS keys have so many rows
+    hot = [(r[key], -(-r.n // most)) for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).collect()] if buckets > 1 else []
+    for k, _ in hot:
+        bounds |= {k, k + 1} if k is not None else set()
+    bounds = sorted(bounds)
+    width = max(1, math.isqrt(len(bounds)))
+    parts = {k: p for k, p in hot if k is not None}
+    fixed = spark.createDataFrame([(bounds, bounds[width - 1 :: width], width, list(parts), list(parts.values()))], "bounds array<bigint>, coarse array<bigint>, width int, hot array<bigint>, parts array<int>")
+    share = (F.shiftrightunsigned(F.xxhash64(value), 11) / F.lit(float(1 << 53))).cast("double")
+    null_parts = dict(hot).get(None, 1)
+    many = F.when(F.col(key).isNull(), null_parts).otherwise(F.coalesce(F.try_element_at("parts", F.nullif(F.array_position("hot", F.col(key)), F.lit(0)).cast("int")), F.lit(1)))
+    place = F.struct((-_bucket(F.col(key))).alias("b"), F.floor(share * many).cast("int").alias("p"))
+    dealt = rows.crossJoin(F.broadcast(fixed)).select(key, value, F.xxhash64(value).alias("_h"), place.alias("_place"), F.lit(False).alias("_guest"))
+    # one row per bucket, so they may meet in one task and be broadcast
+    first = F.struct(F.coalesce(-F.col(key), F.lit(0)).alias("k"), F.shiftrightunsigned("_h", 1).alias("u"), F.col("_h").alias("h"))
+    firsts = dealt.groupBy("_place").agg(F.min(first).alias("_first"))
+    order = W.orderBy("_place")
+    after = firsts.withColumn("_to", F.coalesce(F.lag("_place").over(order), F.max("_place").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+    after = F.broadcast(after.select(F.col("_place").alias("_p"), F.col("_first.k").alias("_k"), F.col("_first.h").alias("_fh"), "_to"))
+    meets = (F.col("_place") == F.col("_p")) & (F.coalesce(-F.col(key), F.lit(0)) == F.col("_k")) & (F.col("_h") == F.col("_fh"))
+    guests = dealt.join(after, meets).groupBy("_to").agg(F.first(F.struct(key, value, "_h")).alias("_r"))
+    guests = guests.select(F.col(f"_r.{key}").alias(key), F.col(f"_r.{value}").alias(value), F.col("_r._h").alias("_h"), F.col("_to").alias("_place"), F.lit(True).alias("_guest"))
+    own = W.partitionBy("_place").orderBy("_guest", F.desc_nulls_last(key), F.shiftrightunsigned("_h", 1), "_h")
+    both = derive(dealt.unionByName(guests).repartition("_place"))
+    return both.select("*", *[F.lead(c).over(own).alias(f"next_{c}") for c in out]).where("not _guest").drop("_place", "_guest", "_h")
 
 
 def spelled(signature: Column) -> Column:
@@ -122,3 +137,26 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = joined.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"), "sig", "next_sig")
     out = with_fingerprint(out, "edited", "edited_sig")
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spelled(F.col("sig")).alias("fingerprint"), spelled(F.col("edited_sig")).alias("edited_fingerprint"), jaccard(F.col("sig"), F.col("edited_sig")).alias("near_edited"), jaccard(F.col("sig"), F.col("next_sig")).alias("near_next"))
+
+
+def compare_edited_sql() -> str:
+    """The same in DuckDB's SQL over the table documents, whose doc_ids differ."""
+    anchors = ", ".join(f"'{a}'" for a in sorted(set(ANCHORS)))
+    hashed = lambda text: f"('0x' || substr(md5({text}), 1, 15))::bigint"
+    return f"""with d as (select doc_id, coalesce(text, '') as text from documents),
+        n as (select doc_id, text, length(text) as n_chars, coalesce(lead(text) over (order by doc_id desc nulls last), first_value(text) over (order by doc_id desc nulls last)) as next_text from d),
+        e as (select *, substr(text, 1, n_chars - n_chars // 3) || substr(next_text, 1, n_chars // 3) as edited from n),
+        t as (select doc_id, 'own' as side, text from e union all select doc_id, 'next', next_text from e union all select doc_id, 'edited', edited from e),
+        l as (select doc_id, side, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') as words from t),
+        u as (select doc_id, side, unnest(words) as w, unnest(range(len(words))) as i from l),
+        k as (select *, w in ({anchors}) as anchor, sum(case when w in ({anchors}) then 0 else 1 end) over (partition by doc_id, side order by i) as c from u),
+        c as (select doc_id, side, c, w from k where not anchor),
+        s as (select distinct k.doc_id, k.side, {hashed("k.w || ' ' || a.w || coalesce(' ' || b.w, '')")} as h from k
+            join c a on a.doc_id = k.doc_id and a.side = k.side and a.c = k.c + 1 left join c b on b.doc_id = k.doc_id and b.side = k.side and b.c = k.c + 2 where k.anchor),
+        g as (select doc_id, side, list_sort(list(h)) as sig from s group by doc_id, side),
+        f as (select l.doc_id, l.side, coalesce(g.sig, list_sort(case when len(words) > 0 then [{hashed("'words1 ' || array_to_string(words, ' ')")}, {hashed("'words2 ' || array_to_string(words, ' ')")}]
+            else [{hashed("'text1 ' || text")}, {hashed("'text2 ' || text")}] end)) as sig from l left join g on g.doc_id = l.doc_id and g.side = l.side),
+        p as (select doc_id, max(sig) filter (where side = 'own') as a, max(sig) filter (where side = 'edited') as b, max(sig) filter (where side = 'next') as c from f group by doc_id)
+        select e.doc_id, n_chars, sha256(edited) as edited_sha256, array_to_string(a, ' ') as fingerprint, array_to_string(b, ' ') as edited_fingerprint,
+            len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::double as near_edited, len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c)))::double as near_next
+        from e join p on p.doc_id = e.doc_id"""
