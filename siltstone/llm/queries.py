@@ -62,4 +62,22 @@ def _nearest_sql() -> str:
         select query_id, rank, vec_id, score from r where rank <= 10"""
 
 
-ORACLE_SQL = {"op4_line_dedup": line_dedup.line_report_sql(), "op5_vptree": _nearest_sql(), "op9_url_reputation": url_reputation.judge_sql()}
+def _classes_sql() -> str:
+    """Near-duplicate classes by all pairs that share a shingle; for small tables."""
+    blank = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    n = dart_minhash.WIDTH
+    return f"""with recursive d as (select doc_id, min(coalesce(text, '')) over (partition by doc_id) as text from documents where doc_id is not null),
+        h as (select text, min(doc_id) as node from d group by text),
+        l as (select node, list_filter(string_split_regex(lower(text), '{blank}'), lambda x: x != '') as w from h),
+        s as (select node, unnest(list_transform(range(greatest(len(w) - {n - 1}, 1)), lambda i: array_to_string(w[i + 1:i + {n}], ' '))) as g from l where len(w) > 0),
+        c as materialized (select node, g, count(*) as n from s group by node, g),
+        t as (select node, sum(n) as n from c group by node),
+        o as (select a.node as x, b.node as y, sum(least(a.n, b.n)) as n from c a join c b on a.g = b.g and a.node < b.node group by a.node, b.node),
+        k as materialized (select x, y from o join t u on u.node = x join t v on v.node = y where o.n >= {dart_minhash.THRESHOLD} * (u.n + v.n - o.n) - 1e-9),
+        e as materialized (select x, y from k union all select y, x from k),
+        r(node, root) as (select node, node from h union select e.y, r.root from r join e on e.x = r.node where r.root < e.y),
+        m as (select node, min(root) as root from r group by node)
+        select documents.doc_id, m.root as class_id from documents left join d on d.doc_id = documents.doc_id left join h on h.text = d.text left join m on m.node = h.node"""
+
+
+ORACLE_SQL = {"op3_dart_minhash": _classes_sql(), "op4_line_dedup": line_dedup.line_report_sql(), "op5_vptree": _nearest_sql(), "op8_spotsigs": spotsigs.compare_edited_sql(), "op9_url_reputation": url_reputation.judge_sql()}
