@@ -15,6 +15,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
+from . import iso
+
 ZIP_LIKE = frozenset("zip docx xlsx pptx ods odt odp odg odf epub cbz jar xpi ora dwfx xps apk".split())
 TAR_LIKE = frozenset(("tar", "cbt"))
 SINGLE = frozenset(("gz", "bz2", "xz", "zst"))
@@ -24,6 +26,9 @@ STORED = frozenset(("epub", "odt", "ods", "odp", "odg"))
 NATURAL = frozenset(("cbz", "cbt"))
 MEMBERS = "parent_id string, seq int, rel_path string, kind string, content binary, link string, error string"
 MAX_BYTES = 1 << 31
+#: Sound files, as containers of their pictures; extensions of those. Fixed values.
+AUDIO = "audio"
+PICTURE_EXT = {"image/png": ".png", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/webp": ".webp"}
 
 Member = tuple[str, str, bytes | None, str | None]  # path, kind, content, link target
 
@@ -71,6 +76,12 @@ def read_members(data: bytes, fmt: str, max_bytes: int = MAX_BYTES) -> list[Memb
             return _ar_members(data)
         if fmt == "cpio":
             return _cpio_members(data)
+        if fmt == "iso":
+            return [(path, kind, content, None) for name, kind, content in iso.members(data) if (path := safe_path(name))]
+        if fmt == AUDIO:
+            from . import audio
+
+            return [(f"cover_{i}{PICTURE_EXT.get(mime, '.jpg')}", "file", body, None) for i, (_, mime, _, body) in enumerate(audio.pictures(data))]
     except Unreadable:
         raise
     except Exception as e:
@@ -165,6 +176,8 @@ def write_members(members: list[Member], fmt: str) -> bytes:
         return _ar(members)
     if fmt == "cpio":
         return _cpio(members)
+    if fmt == "iso":
+        return iso.write([m[:3] for m in members])
     raise Unreadable(f"no writer for {fmt}")
 
 

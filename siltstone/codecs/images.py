@@ -364,12 +364,36 @@ def decode_bmp(data: bytes) -> Raster:
 
 
 def encode_bmp(data: bytes, keep_metadata: bool = True) -> bytes:
-    """8-bit images in RLE8; others stay as they are."""
+    """Images of 8 bits, or of 24 bits with at most 256 colours, in RLE8 or plain with a palette, if that is smaller; others as they are."""
     _, size, width, height, bits, _, top_down, palette = _bmp_head(data)
+    if bits == 24:
+        pixels = decode_bmp(data)[2]  # rows from the top
+        packed = np.ascontiguousarray(pixels[..., [2, 1, 0, 3]]).reshape(-1, 4).view("<u4").ravel() & 0xFFFFFF
+        colours, index = np.unique(packed, return_inverse=True)
+        if len(colours) > 256:
+            return data
+        head = bytearray(data[14 : 14 + size])
+        struct.pack_into("<H", head, 14, 8)
+        made = [_bmp_indexed(head, size, width, height, colours.astype("<u4").view(np.uint8).reshape(-1, 4), index.reshape(height, width)[::-1].astype(np.uint8), m) for m in (0, 1)]
+        return min([data, *made], key=len)
     if bits != 8:
-        raise Unsupported("only 8-bit BMP is re-encoded")
+        return data
     index = _bmp_index(data)
     index = index[::-1] if top_down else index
+    return min((_bmp_indexed(bytearray(data[14 : 14 + size]), size, width, height, palette, index, m) for m in (0, 1)), key=len)
+
+
+def _bmp_indexed(head: bytearray, size: int, width: int, height: int, palette: np.ndarray, index: np.ndarray, method: int) -> bytes:
+    """A file of 8-bit rows from the bottom up, in RLE8 (method 1) or plain."""
+    body = _rle8(index) if method else b"".join(r.tobytes().ljust((width + 3) // 4 * 4, b"\0") for r in index)
+    start = 14 + size + 4 * len(palette)
+    struct.pack_into("<i", head, 8, height)
+    struct.pack_into("<II", head, 16, method, len(body))
+    struct.pack_into("<I", head, 32, len(palette))
+    return b"BM" + struct.pack("<IHHI", start + len(body), 0, 0, start) + bytes(head) + palette.tobytes() + body
+
+
+def _rle8(index: np.ndarray) -> bytes:
     body = bytearray()
     for row in index:
         cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True])
@@ -380,12 +404,7 @@ def encode_bmp(data: bytes, keep_metadata: bool = True) -> bytes:
                 n -= 255
         body += b"\0\0"
     body[-2:] = b"\0\1"
-    start = 14 + size + 4 * len(palette)
-    head = bytearray(data[14 : 14 + size])
-    struct.pack_into("<i", head, 8, height)
-    struct.pack_into("<II", head, 16, 1, len(body))
-    struct.pack_into("<I", head, 32, len(palette))
-    return b"BM" + struct.pack("<IHHI", start + len(body), 0, 0, start) + bytes(head) + palette.tobytes() + bytes(body)
+    return bytes(body)
 
 
 # GIF

@@ -7,6 +7,7 @@ import zlib
 
 from .containers import pdf_streams
 from .images import Unsupported
+from .thorough import deflated
 
 _STREAM = re.compile(rb"(\d+)(\s+\d+\s+obj\s*<<(?:(?!>>\s*stream).)*?/Length\s+)(\d+)((?:(?!>>\s*stream).)*?>>\s*stream\r?\n)", re.S)
 _ROW = re.compile(rb"(\d{10}) (\d{5}) ([nf])")
@@ -24,7 +25,7 @@ def recompressed(data: bytes, keep_metadata: bool = True) -> bytes:
             continue
         size, start = int(m[3]), m.end()
         try:
-            new = zlib.compress(zlib.decompress(data[start : start + size]), 9)
+            new = deflated(zlib.decompress(data[start : start + size]))
         except zlib.error:
             continue
         if len(new) < size:
@@ -51,4 +52,12 @@ def recompressed(data: bytes, keep_metadata: bool = True) -> bytes:
 def canonical(data: bytes) -> bytes:
     """Decoded streams by object id, and everything outside of streams that isn't a length or an offset."""
     streams = pdf_streams(data)
-    return b"".join(b"%d:%d:" % (i, len(body)) + body for i, (_, body, _) in sorted(streams.items()))
+    outside, done = [], 0
+    for m in _STREAM.finditer(data):
+        if m.start() < done:
+            continue
+        outside += [data[done : m.start(3)], b"#", m[4]]
+        done = m.end() + int(m[3])
+    table = max(done, data.rfind(b"\nxref"))
+    tail = re.sub(rb"(startxref\s+)\d+", rb"\1#", _ROW.sub(rb"# \2 \3", data[table:]))
+    return b"".join([*(b"%d:%d:" % (i, len(body)) + body for i, (_, body, _) in sorted(streams.items())), *outside, data[done:table], tail])

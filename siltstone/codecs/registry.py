@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from ..plans import dims
-from . import images, jpeg, mseed, pdf, sqlite
+from . import audio, flac, images, jpeg, mseed, pdf, sqlite, thorough, tiff
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,12 @@ def register_codec(name: str, encode: Callable[[bytes, bool], bytes], canonical:
 
 
 register_codec("png", images.encode_png, _raster(images.decode_png))
-register_codec("jpeg", jpeg.without_repeats, jpeg.canonical)
+register_codec("flac", flac.encode, flac.canonical)
+register_codec("jpeg", jpeg.encode, jpeg.canonical)
+register_codec("zopflipng", thorough.encode_png, _raster(images.decode_png))
+register_codec("flexigif", thorough.encode_gif, images.gif_frames)
+register_codec("tiff", tiff.encode, tiff.canonical)
+register_codec("ogg", audio.remuxed, audio.ogg_canonical)
 register_codec("gif", images.encode_gif, images.gif_frames)
 register_codec("tga", images.encode_tga, _raster(images.decode_tga))
 register_codec("bmp", images.encode_bmp, _raster(images.decode_bmp))
@@ -46,6 +51,9 @@ register_codec("pnm", images.encode_pnm, _raster(images.decode_pnm))
 register_codec("sqlite", lambda data, keep: sqlite.vacuumed(data), lambda data: sqlite.dump_digest(data).encode())
 register_codec("mseed", mseed.repacked, mseed.canonical)
 register_codec("pdf", pdf.recompressed, pdf.canonical)
+# placeholders: these files are containers of covers, and stay as they are themselves
+for _name in ("mpeg", "wav", "mp4", "aiff"):
+    register_codec(_name, lambda data, keep: data, audio.without_pictures)
 
 
 def available(processor: str) -> bool:

@@ -132,6 +132,6 @@ def test_sqlite_and_slots():
     old = make_sample(1)
     new = vacuumed(old)
     assert len(new) < len(old) and raw_equal("sqlite", old, new) and not raw_equal("sqlite", old, make_sample(2))
-    assert not available("flac") and checksum("flac", b"") == "" and raw_equal("flac", b"x", b"x")
+    assert not available("wavpack") and checksum("wavpack", b"") == "" and raw_equal("wavpack", b"x", b"x")
     with pytest.raises(ValueError):
         register_codec("none", lambda d, k: d, lambda d: d)
