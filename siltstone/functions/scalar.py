@@ -49,6 +49,8 @@ def magic_mime(content: Column) -> Column:
     out = None
     for offset, digits, mime in dims.MAGIC:
         fits = F.substring(content, F.lit(offset + 1), F.lit(len(digits) // 2)) == F.lit(bytes.fromhex(digits))
+        if (offset, mime) in dims.MAGIC_DIGITS:  # a sequence number goes before
+            fits &= F.hex(F.substring(content, F.lit(1), F.lit(offset))).rlike(f"^(3[0-9]|20|00){{{offset}}}$")
         out = F.when(fits, mime) if out is None else out.when(fits, mime)
     return out
 
@@ -179,12 +181,59 @@ def beyond_tolerance(a: Column, b: Column, tolerance: float) -> Column:
     return F.abs(a - b) > F.abs(a) * tolerance
 
 
-#: Picture extensions by content type and positions of APE cover keys. Fixed values.
-PICTURE_EXT = {"image/jpeg": ".jpg", "image/jpg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp", "image/bmp": ".bmp", "image/tiff": ".tiff"}
+def picture_extension(mime: Column) -> Column:
+    """The extension of an embedded picture; those of untold type count as JPEG."""
+    return F.when(mime == "image/png", ".png").when(mime == "image/webp", ".webp").otherwise(".jpg")
 
 
-def picture_extension(mime: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in PICTURE_EXT.items() for x in p]), F.lower(mime)), F.lit(".bin"))
+def cover_key(kind: Column) -> Column:
+    """The key of an APE tag for a picture's position."""
+    return F.when(kind == 4, "Cover Art (Back)").otherwise("Cover Art (Front)")
+
+
+def cover_position(key: Column) -> Column:
+    return F.when(key == "Cover Art (Back)", 4).otherwise(3)
+
+
+def cover_format(mime: Column) -> Column:
+    """The type number of an MP4 cover: 14 for PNG, else 13 for JPEG."""
+    return F.when(mime == "image/png", 14).otherwise(13)
+
+
+def _whole(content: Column, at: Column, n: int) -> Column:
+    """``n`` bytes from position ``at`` (from 1) on as a number, the highest first."""
+    return F.conv(F.hex(F.substring(content, at, F.lit(n))), 16, 10).cast("bigint")
+
+
+def jpeg_size(content: Column) -> Column:
+    """struct<width, height, depth, colors> from a JPEG's frame header; null for other content. Segments are walked through; the frame header is
+    among the first 64 of them."""
+    start = F.struct(F.lit(3).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("frame"))
+
+    def step(state: Column, _: Column) -> Column:
+        marker = _whole(content, state["at"].cast("int") + 1, 1)
+        here = (marker >= 0xC0) & (marker <= 0xCF) & ~marker.isin(0xC4, 0xC8, 0xCC)
+        found = F.coalesce(state["frame"], F.when(here, state["at"]))
+        return F.struct(F.when(found.isNull(), state["at"] + 2 + _whole(content, state["at"].cast("int") + 2, 2)).otherwise(state["at"]).alias("at"), found.alias("frame"))
+
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step)["frame"].cast("int")
+    head = F.struct(_whole(content, at + 7, 2).alias("width"), _whole(content, at + 5, 2).alias("height"), _whole(content, at + 4, 1).alias("depth"), _whole(content, at + 9, 1).alias("colors"))
+    return F.when((F.substring(content, 1, 2) == F.lit(b"\xff\xd8")) & at.isNotNull(), head)
+
+
+def webp_size(content: Column) -> Column:
+    """struct<width, height> from a WebP's first chunk (lossy, lossless or extended); null for other content."""
+    little = lambda at, n: F.conv(F.concat(*[F.hex(F.substring(content, F.lit(at + i), F.lit(1))) for i in range(n - 1, -1, -1)]), 16, 10).cast("bigint")
+    size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    kind = F.substring(content, 13, 4)
+    packed = little(22, 4)
+    mask = F.lit(0x3FFF).cast("bigint")
+    head = (
+        F.when(kind == F.lit(b"VP8X"), size(little(25, 3) + 1, little(28, 3) + 1))
+        .when(kind == F.lit(b"VP8L"), size(packed.bitwiseAND(mask) + 1, F.shiftright(packed, 14).bitwiseAND(mask) + 1))
+        .when(kind == F.lit(b"VP8 "), size(little(27, 2).bitwiseAND(mask), little(29, 2).bitwiseAND(mask)))
+    )
+    return F.when((F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 4) == F.lit(b"WEBP")), head)
 
 
 def png_size(content: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -21,12 +20,12 @@ def by_extension(files: DataFrame) -> DataFrame:
     return files.join(F.broadcast(table), scalar.extension(F.col("path")) == F.col("_ext")).drop("_ext")
 
 
-def with_fallback(files: DataFrame) -> DataFrame:
-    """Processors by content type; by extension only for files whose type has none. Left joins of two small arrays, no shuffle."""
+def with_fallback(files: DataFrame, name: str = "path") -> DataFrame:
+    """Processors by content type; by the extension of ``name`` only for files whose type has none. Left joins of two small arrays, no shuffle."""
     spark = files.sparkSession
     mimes = dims.processors_by_mime(spark).withColumnRenamed("processors", "_by_mime")
     exts = dims.processors_by_ext(spark).select(F.col("ext").alias("_ext"), F.col("processors").alias("_by_ext"))
-    joined = files.join(F.broadcast(mimes), "mime", "left").join(F.broadcast(exts), scalar.extension(F.col("path")) == F.col("_ext"), "left")
+    joined = files.join(F.broadcast(mimes), "mime", "left").join(F.broadcast(exts), scalar.extension(F.col(name)) == F.col("_ext"), "left")
     found = F.when(F.coalesce(F.size("_by_mime"), F.lit(0)) > 0, F.col("_by_mime")).otherwise(F.col("_by_ext"))
     return joined.withColumn("processors", F.coalesce(found, F.array().cast("array<struct<priority:int,processor:string>>"))).drop("_by_mime", "_by_ext", "_ext")
 
@@ -67,9 +66,3 @@ def link_targets(files: DataFrame, keys: list[str], order: str, name: str) -> Da
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """The rows that only one side has, as often as it has more: none if both are equal as multisets."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionAll(b.exceptAll(a).withColumn("side", F.lit("right")))
-
-
-def top_processor_window(rows: DataFrame) -> DataFrame:
-    """From one row per file and processor the row of the least priority for each path."""
-    w = W.partitionBy("path").orderBy("priority")
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 UNSUPPORTED, NO_GAIN, FAILED = "Unsupported format", "No size improvement", "Pipeline failed"
 CORRUPT, INTERRUPTED = "INTEGRITY CHECK FAILED: Data corruption detected", "Interrupted"
 NO_ELEMENTS, EXTRACT_FAILED = "Extraction resulted in no elements", "Extraction failed"
+TOO_DEEP = "Nested too deeply"
 
 
 def pipe(value: Column, steps: list[Callable[[Column], Column]]) -> Column:

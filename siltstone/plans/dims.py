@@ -206,6 +206,8 @@ MAGIC = (
     (0, "4D5303", "application/vnd.fdsn.mseed"),
     (6, "4420", "application/vnd.fdsn.mseed"),
 )
+#: Of these, what goes before the magic number must be a sequence number.
+MAGIC_DIGITS = frozenset({(6, "application/vnd.fdsn.mseed")})
 
 
 def mime_map(spark: SparkSession) -> DataFrame:

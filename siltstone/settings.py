@@ -21,7 +21,11 @@ class Settings:
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
     log_level: str = "error"
-    max_depth: int = 16
+    max_depth: int = 64
+    #: Files that a task holds at once.
+    batch_files: int = 16
+    #: Bytes of files that a task should read.
+    task_bytes: int = 256 << 20
     max_bytes: int = 1 << 31
     partitions: int | None = None
 

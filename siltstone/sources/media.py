@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..codecs import containers, mseed
+from ..codecs import audio, containers, mseed
 from ..functions import scalar
 
 PDF_STREAMS = "path string, obj_id int, decodable boolean, ext string, content binary"
@@ -27,15 +27,14 @@ def pdf_streams(files: DataFrame) -> DataFrame:
 
 
 def covers(files: DataFrame) -> DataFrame:
-    """From path and content: the pictures in FLAC, MP3 and MP4 files, with their size read from their own headers where they are PNG."""
+    """From path and content: the pictures in FLAC, MP3, WAV, AIFF, APE, MP4, Vorbis and Opus files, with their size read from their own headers where they are PNG."""
 
     def run(batches):
         for frame in batches:
             rows = []
             for path, data in zip(frame["path"], frame["content"], strict=True):
                 data = bytes(data)
-                found = containers.flac_pictures(data) or containers.id3_pictures(data) or (containers.mp4_covers(data) if data[4:8] == b"ftyp" else [])
-                rows += [(path, i, mime, text, kind, body) for i, (kind, mime, text, body) in enumerate(found)]
+                rows += [(path, i, mime, text, kind, body) for i, (kind, mime, text, body) in enumerate(audio.pictures(data))]
             yield pd.DataFrame(rows, columns=["parent", "seq", "mime_type", "description", "picture_type", "content"])
 
     rows = files.select("path", "content").mapInPandas(run, COVERS)

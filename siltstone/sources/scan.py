@@ -53,12 +53,12 @@ def list_files(inputs: list[str], recursive: bool = False) -> Iterator[tuple[str
 
 
 def scan(spark: SparkSession, inputs: list[str], recursive: bool = False, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """path and length of every input file that passes the filters. Names are listed in the driver, since Spark's own listing drops
+    """path and length of every input file that passes the filters, once each. Names are listed in the driver, since Spark's own listing drops
     names that start with a dot or an underscore; bytes are read by ``contents``. Standard input is not a path: see ``stdin_files``."""
     if "-" in inputs:
         raise ValueError("standard input must be the only input")
     rows = list(list_files(inputs, recursive))
-    df = spark.createDataFrame(rows, FILES) if rows else spark.createDataFrame([], FILES)
+    df = spark.createDataFrame(list(dict.fromkeys(rows)), FILES)
     return df.where(~scalar.is_junk(F.col("path")) & path_filter(F.col("path"), include, exclude))
 
 
@@ -75,7 +75,7 @@ def stdin_files(spark: SparkSession, data: bytes, name: str = "stdin.bin") -> Da
 
 
 def contents(files: DataFrame) -> DataFrame:
-    """Adds content, read by the tasks from paths that every worker can open. Few rows go in a batch, since files can be large."""
+    """Adds content, read by the tasks from paths that every worker can open, one file at a time."""
 
     def read(batches):
         import pandas as pd
