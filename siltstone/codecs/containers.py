@@ -260,7 +260,7 @@ def pdf_streams(data: bytes) -> dict[int, tuple[dict[str, str], bytes, bool]]:
     import re
 
     out = {}
-    for m in re.finditer(rb"(\d+)\s+\d+\s+obj\s*<<(.*?)>>\s*stream\r?\n", data, re.S):
+    for m in re.finditer(rb"(\d+)\s+\d+\s+obj\s*<<((?:(?!endobj).)*?)>>\s*stream\r?\n", data, re.S):
         end = data.find(b"endstream", m.end())
         if end < 0:
             continue

@@ -9,7 +9,7 @@ from .containers import pdf_streams
 from .images import Unsupported
 from .thorough import deflated
 
-_STREAM = re.compile(rb"(\d+)(\s+\d+\s+obj\s*<<(?:(?!>>\s*stream).)*?/Length\s+)(\d+)((?:(?!>>\s*stream).)*?>>\s*stream\r?\n)", re.S)
+_STREAM = re.compile(rb"(\d+)(\s+\d+\s+obj\s*<<(?:(?!>>\s*stream|endobj).)*?/Length\s+)(\d+)((?:(?!>>\s*stream|endobj).)*?>>\s*stream\r?\n)", re.S)
 _ROW = re.compile(rb"(\d{10}) (\d{5}) ([nf])")
 
 

@@ -28,10 +28,12 @@ def _raster(decode) -> Callable[[bytes], bytes]:
 
 
 CODECS: dict[str, Codec] = {}
+#: What the package itself brings.
+BUILT_IN: dict[str, Codec] = {}
 
 
 def register_codec(name: str, encode: Callable[[bytes, bool], bytes], canonical: Callable[[bytes], bytes]) -> None:
-    """Fills or replaces a processor's slot. Processors without a codec are reported as unavailable."""
+    """Fills or replaces a processor's slot, for the engine's next runs. Processors without a codec are reported as unavailable."""
     if name not in {p[0] for p in dims.PROCESSORS}:
         raise ValueError(f"no processor {name}")
     CODECS[name] = Codec(name, encode, canonical)
@@ -56,13 +58,21 @@ for _name in ("mpeg", "wav", "mp4", "aiff"):
     register_codec(_name, lambda data, keep: data, audio.without_pictures)
 
 
+BUILT_IN.update(CODECS)
+
+
+def added() -> dict[str, Codec]:
+    """Codecs that were registered from outside, which workers don't know by themselves."""
+    return {name: codec for name, codec in CODECS.items() if BUILT_IN.get(name) is not codec}
+
+
 def available(processor: str) -> bool:
     return processor in CODECS
 
 
-def raw_equal(processor: str, a: bytes, b: bytes) -> bool:
+def raw_equal(processor: str, a: bytes, b: bytes, codecs: dict[str, Codec] | None = None) -> bool:
     """Whether both files decode to the same content; what can't be decoded is unequal. Without a codec only equal bytes are equal."""
-    codec = CODECS.get(processor)
+    codec = (CODECS if codecs is None else codecs).get(processor)
     if codec is None:
         return a == b
     try:

@@ -53,7 +53,7 @@ def zip_file(members: list[tuple[str, bytes]], stored: bool = True) -> bytes:
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED) as z:
         for name, content in members:
-            z.writestr(zipfile.ZipInfo(name), content)
+            z.writestr(zipfile.ZipInfo(name), content, zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED, 9)
     return buffer.getvalue()
 
 

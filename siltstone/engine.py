@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .codecs import audio
 from .codecs.containers import AUDIO, Unreadable, read_members, write_members
-from .codecs.registry import CODECS, raw_equal
+from .codecs.registry import BUILT_IN, CODECS, Codec, added, raw_equal
 from .events import EventBus, FileError, FileFinish, FileSkipped, FileStart, Log
 from .functions import scalar
 from .operators import lookup, select
@@ -56,10 +56,10 @@ class Run:
     folder: str
 
 
-def encode_all(data: bytes, processors: list[str], mode: str, keep_metadata: bool, verify: bool) -> dict:
+def encode_all(data: bytes, processors: list[str], mode: str, keep_metadata: bool, verify: bool, codecs: dict[str, Codec] = CODECS) -> dict:
     """Runs the codecs of the processors on one file's bytes and gates the result. Processors without a codec are left out."""
     began, before = time.perf_counter(), len(data)
-    steps = [p for p in processors if p in CODECS]
+    steps = [p for p in processors if p in codecs]
     used, best, reason, chosen = [], None, None, None
     if not steps:
         reason = "unavailable"
@@ -67,7 +67,7 @@ def encode_all(data: bytes, processors: list[str], mode: str, keep_metadata: boo
         current = data
         for p in steps:
             try:
-                current = CODECS[p].encode(current, keep_metadata)
+                current = codecs[p].encode(current, keep_metadata)
             except Exception as e:
                 current, reason = b"", f"{select.FAILED}: {e}"
             if not current:
@@ -79,7 +79,7 @@ def encode_all(data: bytes, processors: list[str], mode: str, keep_metadata: boo
         sizes = []
         for i, p in enumerate(steps):
             try:
-                out = CODECS[p].encode(data, keep_metadata)
+                out = codecs[p].encode(data, keep_metadata)
             except Exception as e:
                 reason = f"{select.FAILED}: {e}"
                 continue
@@ -91,7 +91,7 @@ def encode_all(data: bytes, processors: list[str], mode: str, keep_metadata: boo
             reason = None
     if best is not None and len(best) >= before:
         best, reason = None, select.NO_GAIN
-    if best is not None and verify and not raw_equal(chosen, data, best):
+    if best is not None and verify and not raw_equal(chosen, data, best, codecs):
         best, reason = None, select.CORRUPT
     return {"size_before": before, "size_after": before if best is None else len(best), "replaced": best is not None, "reason": None if best is not None else reason, "seconds": time.perf_counter() - began, "codecs_used": used, "new_content": best}
 
@@ -231,9 +231,12 @@ class Engine:
             nodes = nodes.unionByName(level)
         able = [p[0] for p in dims.PROCESSORS if p[1] or p[0] in CODECS]
 
+        extra = added()
+
         def run(batches):
+            codecs = BUILT_IN | extra
             for frame in batches:
-                rows = [{"id": i, **encode_all(bytes(b), [p for p in ps if p in able], mode, keep, verify)} for i, b, ps in zip(frame["id"], frame["content"], frame["processors"], strict=True)]
+                rows = [{"id": i, **encode_all(bytes(b), [p for p in ps if p in able], mode, keep, verify, codecs)} for i, b, ps in zip(frame["id"], frame["content"], frame["processors"], strict=True)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("id", "size_before", "size_after", "replaced", "reason", "seconds", "codecs_used", "new_content")])
 
         todo = nodes.where(F.col("content").isNotNull() & (F.col("kind") == "file") & F.arrays_overlap("processors", F.lit(able)))

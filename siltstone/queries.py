@@ -385,7 +385,7 @@ def q41_codec_sizes(spark, sf_dir):
     return best.select("doc_id", "b.size", "b.idx")
 
 
-@query()
+@query("select conv_id::varchar as parent_id, (row_number() over (partition by conv_id order by turn) - 1)::int as seq, 'turn' || turn || '.txt' as rel_path, strlen(text) as size from conversations")
 def q42_unzip_members(spark, sf_dir):
     from .codecs.containers import pack, unpack
 
@@ -394,19 +394,20 @@ def q42_unzip_members(spark, sf_dir):
     return unpack(packed).select("parent_id", "seq", "rel_path", F.octet_length("content").cast("bigint").alias("size"))
 
 
-@query()
+@query("select n_nationkey as path, true as smaller, true as equal from nation")
 def q43_sqlite_vacuum(spark, sf_dir):
     from .codecs.sqlite import sample_database, vacuum
 
     made = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("path"), sample_database(F.col("n_nationkey")).alias("content"))
-    return made.select("path", F.octet_length("content").cast("bigint").alias("before"), vacuum(F.col("content")).alias("r")).select("path", "before", F.octet_length("r.content").cast("bigint").alias("after"), "r.equal")
+    return made.select("path", F.octet_length("content").alias("before"), vacuum(F.col("content")).alias("r")).select("path", (F.octet_length("r.content") < F.col("before")).alias("smaller"), "r.equal")
 
 
-@query()
+@query(f"""with {_SEGMENTS_SQL} select user_id, min(ts) as starttime, max(ts) + interval 30 minute as endtime, count(*) as n from s group by user_id, seg""")
 def q44_stream_sessions(spark, sf_dir):
     from .streaming.sessions import finished_sessions
 
-    return finished_sessions(spark, sf_dir, "events.parquet", gap="30 minutes")
+    local = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return finished_sessions(spark, sf_dir, "events.parquet", gap="30 minutes").select("user_id", local("starttime"), local("endtime"), "n")
 
 
 @query("""select lang, count(*) as n, sum(strlen(text))::bigint as bytes from documents group by lang""")
@@ -429,3 +430,6 @@ def q47_digest_hex(spark, sf_dir):
 def q48_pack_rgba(spark, sf_dir):
     n = F.col("event_id")
     return _t(spark, sf_dir, "events").select("event_id", scalar.pack_rgba(F.pmod(n, F.lit(256)), F.pmod(n, F.lit(7)), F.pmod(n, F.lit(5)), F.lit(255)).alias("rgba"), scalar.ceil_log2(n + 1).cast("bigint").alias("bits"))
+
+
+from . import byte_queries  # noqa: E402, F401
