@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from .pretoken import MATCHES, Chunked, Remembered
 
 MAX_TOKENS = 2048
 END_ID = 1
+#: Letters of a Latin word, perhaps after a space, are one match of the pattern.
+_ONE_WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 PIECES = "array<struct<start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint, sequence_id: bigint, ids: binary>>"
 
 
@@ -40,8 +43,9 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
 
+@lru_cache(maxsize=2)
 def _encoder(vocabulary: str, added_tokens: bool = False):
-    """A function from a text to its ids as little-endian unsigned 32-bit integers. Matches of the pattern go to the library's
+    """Made once in a worker, so that what is remembered serves all its tasks. A function from a text to its ids as little-endian unsigned 32-bit integers. Matches of the pattern go to the library's
     merging model once each; their ids are remembered, and so are those of the chunks between spaces. With
     ``added_tokens`` a text is cut at the literals of added tokens, which have ids of their own, as in the library by default; where added
     tokens also take in what is around them, the library does it all."""
@@ -53,13 +57,16 @@ def _encoder(vocabulary: str, added_tokens: bool = False):
     if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
         return lambda text: b"".join([i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids])
     literals = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
+    spelled = [i.to_bytes(4, "little") for i in range(1 + max(tokenizer.get_vocab().values()))]
 
     def match_ids(match: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in merge(match.encode("utf-8").decode("latin-1").translate(letters))])
+        return b"".join([spelled[t.id] for t in merge(match.encode("utf-8").decode("latin-1").translate(letters))])
 
     matches = Remembered(match_ids, 300_000).__getitem__
 
     def chunk_ids(chunk: str) -> bytes:
+        if _ONE_WORD(chunk):
+            return match_ids(chunk)
         return b"".join(map(matches, MATCHES.findall(chunk)))
 
     chunked = Chunked(chunk_ids)
