@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import removed, setting, shared_folder
+
+__all__ = ["fields", "forget", "quoted", "removed", "setting", "shared_folder", "small_batches", "table", "text_udf", "whole_row", "whole_text", "written"]
+
 #: Rows in an Arrow batch. Texts can be long, so batches are kept small.
 BATCH_ROWS = 512
 
@@ -25,6 +26,7 @@ def whole_text(column: str = "text") -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """For the rest of the session, since what an operator returns runs only when its caller wants the rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -43,24 +45,10 @@ def fields(docs: DataFrame, **changed: Column) -> list[Column]:
     return [changed.get(c, F.col("row").getItem(c)).alias(c) for c in docs.columns]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one of a local
-    session; a cluster without it raises."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = getattr(spark.sparkContext, "_siltstone_scratch", None)
-        if not base:
-            base = spark.sparkContext._siltstone_scratch = tempfile.mkdtemp(prefix="siltstone-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/siltstone-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows, written as Parquet in the shared folder and read back: lineage ends here and outlives lost executors."""
     spark = df.sparkSession
-    path = path or shared_dir(spark)
+    path = path or shared_folder(spark)
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -73,27 +61,6 @@ def forget(*tables: DataFrame) -> None:
         removed(t.sparkSession, t._written_at)
 
 
-@contextlib.contextmanager
-def setting(spark: SparkSession, **conf: str) -> Iterator[None]:
-    """Session settings for as long as the block runs; double underscores stand for dots."""
-    names = {k.replace("__", "."): v for k, v in conf.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes an intermediate table that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def text_udf(make: Callable[[], Callable[[list], list]], returns) -> Callable[[Column], Column]:
     """An Arrow UDF over one column. ``make`` runs once in a task and returns a function from a batch's
     values to a list of results. Marked non-deterministic so that the optimizer never evaluates it twice."""

@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import removed, setting, shared_dir, whole_row, whole_text, written
+from .common import removed, setting, shared_folder, whole_row, whole_text, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,7 +54,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, min_docs: int = MIN_DOCS):
         if fanout < 2:
             raise ValueError("fanout must be at least 2")
-        self.spark, self.path, self.fanout, self.min_docs = spark, path or shared_dir(spark), fanout, min_docs
+        self.spark, self.path, self.fanout, self.min_docs = spark, path or shared_folder(spark), fanout, min_docs
         self.buckets = partitions(spark)
         self.levels: list[list[str]] = []
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import setting, shared_dir, written
+from .common import forget, setting, shared_folder, written
 
 SHARD_ROWS = 8192
 SAMPLE_ROWS = 4096
@@ -255,7 +255,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     Top trees are fitted on at most about ``sample_rows`` vectors of each length that has more than ``shard_rows`` rows (of the TOP_TREES
     most frequent lengths; others make one leaf). They only decide which rows lie together: all rows are indexed.
     """
-    path = path or shared_dir(vectors.sparkSession)
+    path = path or shared_folder(vectors.sparkSession)
     rows = _rows(vectors, id_col, vector_col)
     sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).orderBy(F.desc("n"), "dim").limit(TOP_TREES).collect()}
     tops = {}
@@ -343,4 +343,6 @@ def search(index: Index, queries: DataFrame, k: int = 10, factor: float = FACTOR
             with setting(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1024"):
                 further = written(known.select("vec_id", "v", "dim", "leaf", "within").mapInPandas(go_on, f"vec_id bigint, v {kind}, dim int, leaf int, within double"))
             hits = hits.union(written(_hits(index, _blocks(further, block_queries), k, factor)))
+            forget(further)
+    forget(asked)
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
