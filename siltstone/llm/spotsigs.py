@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from . import dart_minhash
+from .common import forget, whole_text, written
 
 #: Common words of English, German, French and Spanish. Fixed values.
 ANCHORS = (
@@ -28,6 +29,7 @@ ANCHORS = (
 CHAIN = 2
 BUCKET_ROWS = 1000
 MAX_BUCKETS = 10_000
+PARTS = 64
 
 
 def _hash(text: Column) -> Column:
@@ -63,11 +65,57 @@ def size_partition(signature: Column, threshold: float) -> Column:
 
 
 def similar_pairs(pairs: DataFrame, a: str, b: str, threshold: float = 0.8) -> DataFrame:
-    """The rows whose fingerprints in columns ``a`` and ``b`` reach the threshold, with their likeness; pruned by partition, then size."""
+    """The rows whose fingerprints in columns ``a`` and ``b`` reach the threshold, with their likeness; pruned by partition, then size. Pairs with a
+    null fingerprint go; repeated pairs repeat; an empty table gives an empty result."""
     near = F.abs(size_partition(F.col(a), threshold) - size_partition(F.col(b), threshold)) <= 1
     return pairs.where(near).withColumn("likeness", jaccard(F.col(a), F.col(b), threshold)).where(F.col("likeness") >= threshold)
 
 
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Adds to pairs (a, b): linked, na, nb (sizes), and difference, the signatures of only one of both. A centre's pairs are dealt to parts."""
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(PARTS)).alias("part"))
+    left = dealt.select("a", "part").distinct().join(sets.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
+    both = dealt.join(sets.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b").join(left, ["a", "part"])
+    difference = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    return both.select("a", "b", (jaccard(F.col("x"), F.col("y"), threshold) >= threshold - 1e-12).alias("linked"), F.size("x").cast("bigint").alias("na"), F.size("y").cast("bigint").alias("nb"), difference.alias("difference"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """doc_id and class_id of each row: the least doc_id among the documents that links of at least the threshold join.
+
+    Sets fall into partitions by length; a set's rarest signatures, as many as two similar sets can't both lack, are its entries in the index
+    of its own partition and of the next one. Sets that share an entry are compared with one centre for each entry, sizes before contents, and what is
+    not linked to a centre as in dart_minhash, so a group of copies never forms all its pairs.
+
+    Cases: texts of equal fingerprints are of one class, so null and empty texts are; rows that share a doc_id count as one document. A null doc_id has no
+    class (null) and takes no part. Other columns are not read. An empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
+    # a node is a fingerprint, told by its hash
+    found = written(with_fingerprint(rows, "text", "sig").select("doc_id", "sig", F.xxhash64("sig").alias("node")))
+    named = found.where("doc_id is not null")
+    sets = written(named.groupBy("node").agg(F.min("sig").alias("sig")).withColumn("n", F.size("sig")).withColumn("p", size_partition(F.col("sig"), threshold)))
+    spread = sets.select("node", "n", "p", F.explode("sig").alias("cell"))
+    ranked = spread.join(spread.groupBy("cell").agg(F.count("*").alias("df")).where("df > 1"), "cell", "left")
+    ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "cell"))).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("df").isNotNull())
+    entries = ranked.select("node", F.explode(F.array(F.xxhash64("cell", "p"), F.xxhash64("cell", F.col("p") + 1))).alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = written(entries.join(shared, "bucket"))
+    spokes = written(dart_minhash._stars(buckets))
+    stars = written(_compared(spokes, sets, threshold))
+    pairs = written(dart_minhash._others(stars, threshold))
+    more = written(_compared(pairs, sets, threshold).select("a", "b", "linked"))
+    links = stars.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
+    # rows of one doc_id are tied together
+    least = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
+    ties = named.join(least.select("doc_id", "a"), "doc_id").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    labels = dart_minhash.components(links.union(ties))
+    forget(sets, buckets, spokes, stars, pairs, more)
+    placed = written(found.select("doc_id", "node").join(labels.select("node", "root"), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
+    classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return placed.join(classes, "root").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+
+
 def _bucket(key: Column) -> Column:
     """How many of the sorted array bounds are at most the key, in two steps of about the root of their number; -1 for null."""
     skipped = F.size(F.filter("coarse", lambda b: b <= key)) * F.col("width")

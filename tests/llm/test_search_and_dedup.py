@@ -229,6 +229,38 @@ def test_different_texts_have_different_fingerprints(spark, start):
     assert sigs.select("sig").distinct().count() == n
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_documents_are_those_of_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    anchors, words = ["the", "of", "is", "der", "la"], [f"w{i}" for i in range(80)]
+    rows = []
+    for g in range(6):
+        base = [rng.choice(anchors) if rng.random() < 0.5 else rng.choice(words) for _ in range(120)]
+        for _ in range(25):
+            t = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            rows.append(" ".join(t[: rng.randrange(90, 120)] if rng.random() < 0.3 else t))
+    rows += rows[:10] + [None, "", "  ", "no anchor here", "no anchor here"]
+    rows = [(5 * i, t) for i, t in enumerate(rows)] + [(None, "the w1 w2")]
+    got = {r.doc_id: r.class_id for r in spotsigs.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    sets = {i: spots(t or "") for i, t in rows if i is not None}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in ids} | {None: None}
+
+
 def test_pruned_pairs(spark):
     df = spark.createDataFrame([(list(range(10)), list(range(9))), (list(range(10)), [1, 2]), (list(range(10)), list(range(5, 15)))], "a array<int>, b array<int>")
     assert [round(r.likeness, 6) for r in spotsigs.similar_pairs(df, "a", "b").collect()] == [0.9]
