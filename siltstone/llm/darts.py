@@ -18,7 +18,7 @@ from .pretoken import Remembered
 U = np.uint64
 _GOLD, _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _STEP = U(0xD6E8FEB86659FD93)
-FIRST, LONGEST = 1 / 64, 8.0
+FIRST, LONGEST = 1 / 4, 16.0
 #: The greatest width of a weight region, and the least weight.
 WIDEST, LEAST_WEIGHT = 32, 1 / 64
 
@@ -71,7 +71,7 @@ def sketch(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, sets: i
         for width, keys, share, own in parts:
             h = mix(keys ^ mix(np.array([level + 1], dtype=U)))
             n = np.searchsorted(_poisson_steps(length * width), unit(h), side="right")
-            thin = share.min() < 1
+            thin = bool((share < 1).any())
             for j in range(int(n.max(initial=0))):
                 hit = np.flatnonzero(n > j)
                 d = mix(h[hit] + U(j + 1) * _STEP)
@@ -89,8 +89,11 @@ def sketch(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, sets: i
         low, level = low + length, level + 1
         length = min(low, LONGEST)
         open_sets = np.isinf(rank.reshape(sets, k)).any(axis=1)
-        still = [(w, open_sets[o], key, s, o) for w, key, s, o in parts]
-        parts = [(w, key[m], s[m], o[m]) for w, m, key, s, o in still if m.any()]
+        if not open_sets.any():
+            break
+        if not open_sets.all():
+            still = [(w, open_sets[o], key, s, o) for w, key, s, o in parts]
+            parts = [(w, key[m], s[m], o[m]) for w, m, key, s, o in still if m.any()]
     return dart.reshape(sets, k)
 
 
@@ -120,6 +123,8 @@ def shingle_weights(text: str | None, width: int = 5) -> tuple[np.ndarray, np.nd
     """The different shingles of a text, and how often each occurs."""
     s = shingles(text, width)
     start = _starts(s)
+    if len(start) == len(s):
+        return s, np.ones(len(s))
     return s[start], np.diff(np.r_[start, len(s)]).astype(np.float64)
 
 
