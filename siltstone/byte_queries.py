@@ -184,6 +184,16 @@ for _processor, _place in (("mpeg", 1), ("wav", 2), ("aiff", 3), ("mp4", 5)):
     _placeholder(_processor, _place)
 
 
+@query("select page_id, true as equal, true as smaller, false as equal_to_other from pages")
+def q60_mkv_clean(spark, sf_dir):
+    def judge(text: str) -> tuple:
+        data = samples.video(text.encode())
+        new = registry.CODECS["mkv"].encode(data, True)
+        return registry.raw_equal("mkv", data, new), len(new) < len(data) - 100, registry.raw_equal("mkv", data, samples.video(text.encode() + b"!"))
+
+    return _t(spark, sf_dir, "pages").select("page_id", _map(judge, "struct<equal: boolean, smaller: boolean, equal_to_other: boolean>")(F.col("html")).alias("r")).select("page_id", "r.*")
+
+
 @query("select page_id::varchar as path, true as equal, true as smaller, false as equal_to_other from pages where page_id % 7 = 6")
 def q60_ogg_remux(spark, sf_dir):
     def judge(data: bytes) -> tuple:
@@ -390,6 +400,11 @@ def q76_natural_order(spark, sf_dir):
     return order.natural_rank(rows, "source", "name").select("doc_id", "rank")
 
 
+@query("select page_id, url, row_number() over (order by url, page_id)::int as rank from pages")
+def q98_sort_by_path(spark, sf_dir):
+    return order.path_rank(_t(spark, sf_dir, "pages").select("page_id", "url"), "url", "page_id")
+
+
 # Tables of formats and processors
 
 @query(f"select * from {dims.values_sql([(p[0], i, p[1], p[2]) for i, p in enumerate(dims.PROCESSORS)], 't(processor, priority, can_recompress, can_extract)')}")

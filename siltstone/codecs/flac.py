@@ -212,6 +212,8 @@ def decode(data: bytes) -> Sound:
         parts.append(np.stack(x, axis=1))
         at, done = at + size + 2, done + block
     samples = np.concatenate(parts) if parts else np.zeros((0, channels), np.int64)
+    if any(info[18:34]) and digest(samples, bits) != info[18:34]:
+        raise Unsupported("samples don't have their digest")
     return Sound(rate, bits, samples, blocks[1:], info[18:34])
 
 

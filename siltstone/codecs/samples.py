@@ -127,6 +127,19 @@ def seismic_file(samples: list[int]) -> bytes:
     return (head.ljust(64, b"\0") + struct.pack(f">{len(samples)}i", *samples)).ljust(size, b"\0")
 
 
+def video(text: bytes, padding: int = 100) -> bytes:
+    """A Matroska file with filling, one cluster, and a seek entry and a cue that lead to it."""
+    from .mkv import _whole
+
+    wide = lambda kind, body: kind.to_bytes((kind.bit_length() + 7) // 8, "big") + (len(body) | 1 << 56).to_bytes(8, "big") + body
+    cluster = wide(0x1F43B675, _whole(0xE7, b"\0") + _whole(0xA3, text))
+    info, void = wide(0x1549A966, _whole(0xBF, bytes(4)) + _whole(0x2AD7B1, b"\x0f\x42\x40")), wide(0xEC, bytes(padding))
+    seek = lambda at: wide(0x114D9B74, wide(0x4DBB, _whole(0x53AB, b"\x1f\x43\xb6\x75") + _whole(0x53AC, at.to_bytes(4, "big"))))
+    cues = lambda at: wide(0x1C53BB6B, wide(0xBB, _whole(0xB3, b"\0") + wide(0xB7, _whole(0xF7, b"\1") + _whole(0xF1, at.to_bytes(4, "big")))))
+    at = len(seek(0)) + len(void) + len(info)
+    return wide(0x1A45DFA3, _whole(0x4282, b"matroska")) + wide(0x18538067, seek(at) + void + info + cluster + cues(at))
+
+
 def jpeg_file(width: int, height: int, seed: int, components: int = 1, interval: int = 0) -> bytes:
     """Coefficients by chance, in codes of eight bits, with a comment given twice."""
     rng = np.random.default_rng(seed)

@@ -7,12 +7,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..session import shared_folder, written
+
+
+def ranked(rows: DataFrame, group: Column, keys: list[Column], out: str = "rank") -> DataFrame:
+    """Adds the place of each row in the order of the keys within its group, from 1. Rows are dealt by ranges of group and keys, so a group with a
+    third of all rows is shared by many tasks; each range is numbered by itself and moved by the rows of its group in the ranges before."""
+    spark = rows.sparkSession
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = rows.select("*", group.alias("_g"), *[k.alias(n) for k, n in zip(keys, names, strict=True)])
+    # written, so that a row's range is the same for both uses
+    placed = written(keyed.repartitionByRange("_g", *names).withColumn("_p", F.spark_partition_id()), shared_folder(spark))
+    own = F.row_number().over(W.partitionBy("_p", "_g").orderBy(*names))
+    sizes = placed.groupBy("_g", "_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_g").alias("_g2"), F.col("_p").alias("_p2"), before.alias("_before"))
+    joined = placed.withColumn("_own", own).join(starts, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_p") == F.col("_p2")))
+    return joined.select(*rows.columns, (F.col("_own") + F.col("_before")).cast("int").alias(out))
 
 
 def natural_rank(rows: DataFrame, group: str, name: str) -> DataFrame:
     """Adds rank, the place in natural order within the group."""
     key = scalar.natural_key(F.col(name))
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(key["key"], key["length"], key["path"])))
+    return ranked(rows, F.col(group), [key["key"], key["length"], key["path"]])
+
+
+def path_rank(rows: DataFrame, path: str, *ties: str) -> DataFrame:
+    """Adds rank, the place by path over all rows."""
+    return ranked(rows, F.lit(0), [F.col(path), *map(F.col, ties)])
 
 
 def special_first(rows: DataFrame, group: str, special: Column, seq: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from siltstone.codecs import audio, flac, images, iso, jpeg, pdf, samples, thorough, tiff
+from siltstone.codecs import audio, flac, images, iso, jpeg, mkv, pdf, samples, thorough, tiff
 from siltstone.codecs.containers import read_members
 from siltstone.codecs.registry import CODECS, raw_equal
 
@@ -105,3 +105,22 @@ def test_sample_images(kind):
     pixels = np.random.default_rng(1).integers(0, 9, (8, 8, 1)).astype(np.uint8).repeat(3, axis=2)
     data = samples.image(kind, pixels)
     assert raw_equal(kind, data, CODECS[kind].encode(data, True)) and not raw_equal(kind, data, samples.image(kind, pixels + 1))
+
+
+def test_matroska():
+    data = samples.video(b"frame" * 100)
+    small = mkv.cleaned(data)
+    assert len(small) < len(data) - 150 and raw_equal("mkv", data, small) and mkv.cleaned(small) == small
+    # the cue and the seek entry lead to the cluster
+    _, children, base, _ = mkv._segment(small)
+    place = next(start - base for kind, start, _, _ in children if kind == mkv.CLUSTER)
+    assert [int.from_bytes(small[small.index(head) + len(head) :][:4], "big") for head in (b"\x53\xac\x84", b"\xf7\x81\x01\xf1\x84")] == [place, place]
+    assert not raw_equal("mkv", data, samples.video(b"other")) and not raw_equal("mkv", data, data[:-3])
+    with pytest.raises(images.Unsupported):
+        mkv.cleaned(data.replace(b"\x53\xac\x84", b"\x53\xac\x84\x01", 1)[: len(data)])
+
+
+def test_flac_digest_is_held():
+    good = flac.write(flac.Sound(8000, 16, np.arange(100)[:, None], []))
+    with pytest.raises(images.Unsupported):
+        flac.decode(good[:26] + bytes(15) + b"x" + good[42:])
