@@ -97,7 +97,7 @@ def sketch(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, sets: i
     return dart.reshape(sets, k)
 
 
-_WORD = Remembered(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 500_000)
+_WORD = Remembered(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 200_000)
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:

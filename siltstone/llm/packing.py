@@ -62,7 +62,7 @@ def _encoder(vocabulary: str, added_tokens: bool = False):
     def match_ids(match: str) -> bytes:
         return b"".join([spelled[t.id] for t in merge(match.encode("utf-8").decode("latin-1").translate(letters))])
 
-    matches = Remembered(match_ids, 300_000).__getitem__
+    matches = Remembered(match_ids, 100_000).__getitem__
 
     def chunk_ids(chunk: str) -> bytes:
         if _ONE_WORD(chunk):
