@@ -252,13 +252,13 @@ def _pixels(levels) -> np.ndarray:
 
 def _first_gray(processor: str, data: bytes) -> int:
     """The sum of the red samples of a decoded file."""
-    from .codecs import images, tiff
+    from .codecs import images, tiff, webp
 
     if processor == "tiff":
         return int(tiff.decode(data)[0][2][..., 0].sum())
     if processor in ("gif", "flexigif"):  # the table is the gray scale
         return sum(sum(body) for kind, _, body in images.gif_parts(data) if kind == "image")
-    decode = {"png": images.decode_png, "zopflipng": images.decode_png, "tga": images.decode_tga, "bmp": images.decode_bmp, "pnm": images.decode_pnm}[processor]
+    decode = {"png": images.decode_png, "zopflipng": images.decode_png, "tga": images.decode_tga, "bmp": images.decode_bmp, "pnm": images.decode_pnm, "webp": webp.decode}[processor]
     return int(decode(data)[2][..., 0].sum())
 
 
@@ -277,7 +277,7 @@ def _lossless(processor: str) -> None:
     query(f"select vec_id, true as equal, false as equal_to_other, true as not_empty, list_sum({_LEVELS})::bigint as total from embeddings")(run)
 
 
-for _processor in ("png", "zopflipng", "gif", "flexigif", "tga", "bmp", "pnm", "tiff"):
+for _processor in ("png", "zopflipng", "gif", "flexigif", "tga", "bmp", "pnm", "tiff", "webp"):
     _lossless(_processor)
 
 

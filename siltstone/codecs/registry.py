@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from ..plans import dims
-from . import audio, flac, images, jpeg, mkv, mseed, pdf, sqlite, thorough, tiff
+from . import audio, flac, images, jpeg, mkv, mseed, pdf, sqlite, thorough, tiff, webp
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,7 @@ register_codec("jpeg", jpeg.encode, jpeg.canonical)
 register_codec("zopflipng", thorough.encode_png, _raster(images.decode_png))
 register_codec("flexigif", thorough.encode_gif, images.gif_frames)
 register_codec("tiff", tiff.encode, tiff.canonical)
+register_codec("webp", webp.encode, webp.canonical)
 register_codec("mkv", mkv.cleaned, mkv.canonical)
 register_codec("ogg", audio.remuxed, audio.ogg_canonical)
 register_codec("gif", images.encode_gif, images.gif_frames)

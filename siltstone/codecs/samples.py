@@ -10,7 +10,7 @@ import zlib
 
 import numpy as np
 
-from . import audio, flac, images, jpeg, tiff
+from . import audio, flac, images, jpeg, tiff, webp
 
 
 def image(kind: str, pixels: np.ndarray) -> bytes:
@@ -32,6 +32,8 @@ def image(kind: str, pixels: np.ndarray) -> bytes:
         codes = images._lzw_encode(gray, 8)
         parts = b"".join(bytes((len(p),)) + p for p in (codes[i : i + 40] for i in range(0, len(codes), 40)))
         return b"GIF89a" + struct.pack("<HHBBB", width, height, 0xF7, 0, 0) + table + b"," + struct.pack("<HHHHB", 0, 0, width, height, 0) + b"\x08" + parts + b"\0;"
+    if kind == "webp":
+        return webp.plain(np.dstack([pixels, np.full((height, width), 255, np.uint8)]))
     if kind == "tiff":
         alpha = np.dstack([pixels, np.full((height, width), 255, np.uint8)])
         plain = tiff.write([((width, height, alpha), {}, "<")])

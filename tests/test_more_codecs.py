@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from siltstone.codecs import audio, flac, images, iso, jpeg, mkv, pdf, samples, thorough, tiff
+from siltstone.codecs import audio, flac, images, iso, jpeg, mkv, pdf, samples, thorough, tiff, webp
 from siltstone.codecs.containers import read_members
 from siltstone.codecs.registry import CODECS, raw_equal
 
@@ -100,7 +100,7 @@ def test_pdf_equality_sees_what_is_outside_streams():
     assert not raw_equal("pdf", data, small.replace(b"/Count 1", b"/Count 2"))
 
 
-@pytest.mark.parametrize("kind", ["png", "zopflipng", "gif", "flexigif", "tga", "bmp", "pnm", "tiff"])
+@pytest.mark.parametrize("kind", ["png", "zopflipng", "gif", "flexigif", "tga", "bmp", "pnm", "tiff", "webp"])
 def test_sample_images(kind):
     pixels = np.random.default_rng(1).integers(0, 9, (8, 8, 1)).astype(np.uint8).repeat(3, axis=2)
     data = samples.image(kind, pixels)
@@ -124,3 +124,55 @@ def test_flac_digest_is_held():
     good = flac.write(flac.Sound(8000, 16, np.arange(100)[:, None], []))
     with pytest.raises(images.Unsupported):
         flac.decode(good[:26] + bytes(15) + b"x" + good[42:])
+
+
+def _webp_cases():
+    rng = np.random.default_rng(0)
+    y, x = np.mgrid[:60, :75]
+    slope = np.dstack([x + y, x * 2, y * y // 30, np.full_like(x, 255)]).astype(np.uint8)
+    yield from (slope, (slope + rng.integers(0, 5, slope.shape)).astype(np.uint8), rng.integers(0, 256, (9, 7, 4)).astype(np.uint8))
+    for colors, shape in ((2, (33, 50)), (3, (40, 1)), (9, (1, 40)), (200, (20, 20))):  # two, four, sixteen and more places in a palette
+        yield rng.integers(0, 256, (colors, 4)).astype(np.uint8)[rng.integers(0, colors, shape)]
+    yield from (np.zeros((1, 1, 4), np.uint8), np.zeros((90, 90, 4), np.uint8))
+
+
+@pytest.mark.parametrize("i", range(9))
+def test_webp(i):
+    pixels = list(_webp_cases())[i]
+    data = webp.plain(pixels)
+    small = webp.encode(data)
+    for out in (data, small):
+        assert webp.decode(out)[:2] == pixels.shape[1::-1] and (webp.decode(out)[2] == pixels).all()
+    image = np.ascontiguousarray(pixels[..., [2, 1, 0, 3]])
+    assert (webp._lossless(webp._with_predictors(image)) == image).all() and len(small) <= len(data) and raw_equal("webp", data, small)
+
+
+def test_webp_files_of_others():
+    """A picture whose alpha another library wrote as a lossless stream, beside the same picture as PNG; and the smallest lossless file."""
+    import base64
+    from pathlib import Path
+
+    tiny = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(tiny)[2].tolist() == [[[0, 0, 0, 0]]]
+    test = pytest.importorskip("test")
+    folder = Path(test.__file__).parent / "test_email" / "data"
+    if not (folder / "python.webp").exists():
+        pytest.skip("no sample files")
+    assert (webp.alpha((folder / "python.webp").read_bytes()) == images.decode_png((folder / "python.png").read_bytes())[2][..., 3]).all()
+
+
+def test_webp_chunks():
+    pixels = np.full((5, 6, 4), 9, np.uint8)
+    body = dict(webp.chunks(webp.plain(pixels)))[b"VP8L"]
+    head = bytes((webp.ALPHA | webp.EXIF, 0, 0, 0, 5, 0, 0, 4, 0, 0))
+    data = webp._file([(b"VP8X", head), (b"VP8L", body), (b"EXIF", b"camera")])
+    kept, bare = webp.encode(data), webp.encode(data, False)
+    assert b"camera" in kept and b"camera" not in bare and dict(webp.chunks(bare))[b"VP8X"][0] == webp.ALPHA
+    assert raw_equal("webp", data, kept) and raw_equal("webp", data, bare)
+    lossy = webp._file([(b"VP8X", head), (b"ALPH", b"a"), (b"VP8 ", b"coded"), (b"XMP ", b"x" * 9)])
+    assert webp.encode(lossy) == lossy and raw_equal("webp", lossy, webp.encode(lossy, False)) and len(webp.encode(lossy, False)) < len(lossy)
+    assert not raw_equal("webp", lossy, lossy.replace(b"coded", b"other"))
+    for bad in (b"", data[:-9], data[:40], webp._file([(b"ANIM", b""), (b"VP8L", body)]), webp._file([(b"VP8L", body[:7])])):
+        assert not raw_equal("webp", data, bad)
+    with pytest.raises(images.Unsupported):
+        webp.encode(webp._file([(b"ANMF", body)]))
