@@ -150,6 +150,19 @@ def q56_pdf_recompress(spark, sf_dir):
 
 # Sound
 
+@query("select page_id::varchar as path, true as equal, true as smaller, false as equal_if_changed, false as equal_if_moved, md5(html) as digest from pages")
+def q99_pdf_references(spark, sf_dir):
+    def judge(i: int, text: str) -> tuple:
+        data = samples.pdf_with_references(text.encode(), i % 2 > 0)
+        new = pdf.recompressed(data)
+        same = [registry.raw_equal("pdf", data, other) for other in (new, new.replace(b"/Size 7", b"/Size 8"), new.replace(b"startxref\n", b"startxref\n1"))]
+        return same[0], len(new) < len(data), same[1], same[2], containers.pdf_streams(new)[4][1]
+
+    made = _map(judge, "struct<equal: boolean, smaller: boolean, equal_if_changed: boolean, equal_if_moved: boolean, content: binary>")(F.col("page_id"), F.col("html"))
+    out = _t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), made.alias("r")).select("path", "r.*")
+    return out.select("path", "equal", "smaller", "equal_if_changed", "equal_if_moved", F.md5("content").alias("digest"))
+
+
 def _sounds(spark, sf_dir: str) -> DataFrame:
     make = _map(lambda i, t: samples.sound(samples.SOUNDS[i % 7], t.encode()), "binary")
     return _t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), "page_id", make(F.col("page_id"), F.col("html")).alias("content"))

@@ -15,7 +15,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-from . import iso
+from . import images, iso
 
 ZIP_LIKE = frozenset("zip docx xlsx pptx ods odt odp odg odf epub cbz jar xpi ora dwfx xps apk".split())
 TAR_LIKE = frozenset(("tar", "cbt"))
@@ -264,19 +264,33 @@ def pdf_streams(data: bytes) -> dict[int, tuple[dict[str, str], bytes, bool]]:
         end = data.find(b"endstream", m.end())
         if end < 0:
             continue
-        length = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", m[2])
+        length = re.search(rb"/Length\s+(\d+)\b(?!\s+\d+\s+R)", m[2])
         body = data[m.end() : m.end() + int(length[1])] if length else data[m.end() : end].rstrip(b"\r\n")
         names = {k.decode(): v.decode() for k, v in re.findall(rb"(/[A-Za-z0-9]+)\s*\[?\s*(/[A-Za-z0-9]+)", m[2])}
-        if names.get("/Filter") == "/FlateDecode" and b"/DecodeParms" not in m[2]:
+        if names.get("/Filter") == "/FlateDecode":
             try:
-                out[int(m[1])] = names, zlib.decompress(body), True
+                out[int(m[1])] = names, _unpredicted(zlib.decompress(body), m[2]), True
                 continue
-            except zlib.error:
+            except (zlib.error, ValueError):
                 pass
         out[int(m[1])] = names, body, "/Filter" not in names
     return out
 
 
+def _unpredicted(raw: bytes, head: bytes) -> bytes:
+    """A stream's bytes after the prediction its head names. Raises ValueError for predictors that aren't those of PNG."""
+    import re
+
+    how = {name: int(value) for name, value in re.findall(rb"/(Predictor|Columns|Colors|BitsPerComponent)\s+(\d+)", head[head.find(b"/DecodeParms") :])} if b"/DecodeParms" in head else {}
+    if how.get(b"Predictor", 1) == 1:
+        return raw
+    if how[b"Predictor"] < 10:
+        raise ValueError("predictor")
+    bits = how.get(b"Colors", 1) * how.get(b"BitsPerComponent", 8)
+    stride = (bits * how.get(b"Columns", 1) + 7) // 8
+    return images._unfilter(raw, len(raw) // (stride + 1), stride, max(1, bits // 8)).tobytes()
+
+
 def flac_pictures(data: bytes) -> list[tuple[int, str, str, bytes]]:
     """(picture type, content type, description, bytes) of a FLAC file's picture blocks."""
     if data[:4] != b"fLaC":

@@ -71,6 +71,28 @@ def pdf_file(content: bytes, kind: bytes = b"/Type /Metadata") -> bytes:
     return out + table + b"trailer\n<< /Size 5 /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % len(out)
 
 
+def pdf_with_references(content: bytes, predicted: bool = True) -> bytes:
+    """The same file as current writers make it: page tree in an object stream (5), places in a reference stream (6)."""
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>"]
+    starts = [sum(len(o) + 1 for o in objects[:i]) for i in range(3)]
+    first = b" ".join(b"%d %d" % (i + 1, at) for i, at in enumerate(starts)) + b"\n"
+    out, places = b"%PDF-1.5\n", {}
+
+    def stream(number: int, head: bytes, raw: bytes) -> bytes:
+        places[number] = len(out)
+        body = zlib.compress(raw, 1)
+        return out + b"%d 0 obj\n<< %b /Filter /FlateDecode /Length %d >>\nstream\n" % (number, head, len(body)) + body + b"\nendstream\nendobj\n"
+
+    out = stream(4, b"", content)
+    out = stream(5, b"/Type /ObjStm /N 3 /First %d" % len(first), first + b"\n".join(objects))
+    places[6] = len(out)
+    rows = [(0, 0, 255), *((2, 5, i) for i in range(3)), *((1, places[n], 0) for n in (4, 5, 6))]
+    table = np.frombuffer(b"".join(struct.pack(">BIB", *r) for r in rows), np.uint8).reshape(7, 6)
+    how = b"/DecodeParms << /Columns 6 /Predictor 12 >> " if predicted else b""
+    out = stream(6, b"/Type /XRef /Size 7 /W [1 4 1] /Root 1 0 R " + how, images._filtered(table, 1, 2) if predicted else table.tobytes())
+    return out + b"startxref\n%d\n%%%%EOF\n" % places[6]
+
+
 SOUNDS = ("flac", "mp3", "wav", "aiff", "ape", "mp4", "ogg")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from siltstone.codecs import audio, flac, images, iso, jpeg, mkv, pdf, samples, thorough, tiff, webp
-from siltstone.codecs.containers import read_members
+from siltstone.codecs.containers import pdf_streams, read_members
 from siltstone.codecs.registry import CODECS, raw_equal
 
 
@@ -100,6 +100,24 @@ def test_pdf_equality_sees_what_is_outside_streams():
     assert not raw_equal("pdf", data, small.replace(b"/Count 1", b"/Count 2"))
 
 
+@pytest.mark.parametrize("predicted", [False, True])
+def test_pdf_reference_streams(predicted):
+    data = samples.pdf_with_references(b"text and more text " * 500, predicted)
+    small = pdf.recompressed(data)
+    assert len(small) < len(data) and raw_equal("pdf", data, small) and pdf_streams(small)[4][1] == b"text and more text " * 500
+    rows = np.frombuffer(pdf_streams(small)[6][1], np.uint8).reshape(7, 6)
+    for number, (kind, *place, _) in enumerate(rows.tolist()):
+        assert kind != 1 or small[int.from_bytes(bytes(place), "big") :].startswith(b"%d 0 obj" % number)
+    start = int(small[small.index(b"startxref") + 10 :].split()[0])
+    assert small[start:].startswith(b"6 0 obj")
+    # wrong places, other objects, other text
+    assert not raw_equal("pdf", data, small.replace(b"startxref\n", b"startxref\n1")) and not raw_equal("pdf", data, small.replace(b"/Size 7", b"/Size 8"))
+    assert not raw_equal("pdf", data, samples.pdf_with_references(b"other", predicted))
+    with pytest.raises(images.Unsupported):
+        pdf.recompressed(data.replace(b"/W [1 4 1]", b"/W [1 4 2]"))
+    assert not raw_equal("pdf", samples.pdf_file(b"a" * 99), samples.pdf_file(b"a" * 99).replace(b"0000000009", b"0000000010"))
+
+
 @pytest.mark.parametrize("kind", ["png", "zopflipng", "gif", "flexigif", "tga", "bmp", "pnm", "tiff", "webp"])
 def test_sample_images(kind):
     pixels = np.random.default_rng(1).integers(0, 9, (8, 8, 1)).astype(np.uint8).repeat(3, axis=2)
