@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import logging
 import os
 import re
@@ -11,9 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..session import shared_folder, written
 
 log = logging.getLogger(__name__)
 FILES = "path string, length bigint"
+#: Entries of a folder that leave a task at once.
+LISTED = 10_000
 
 
 def _valid(patterns: list[str] | None, kind: str) -> list[str]:
@@ -34,32 +38,64 @@ def path_filter(path: Column, include: list[str] | None = None, exclude: list[st
     return keep & scalar.matches_any(path, _valid(include, "include")) if include else keep
 
 
-def list_files(inputs: list[str], recursive: bool = False) -> Iterator[tuple[str, int]]:
-    """Regular files among the inputs; folders are listed, one level or all. Missing inputs are logged and skipped."""
+def _entries(folder: str) -> Iterator[tuple[str, int, bool]]:
+    """(path, length, whether it is a folder) of the folders and regular files in a folder, by name. Links to folders are left out, and a folder that
+    can't be listed is logged."""
+    try:
+        with os.scandir(folder) as found:
+            for entry in sorted(found, key=lambda e: e.name):
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.path, 0, True
+                elif entry.is_file():
+                    yield entry.path, entry.stat().st_size, False
+    except OSError as e:
+        log.warning("Can't list %s: %s", folder, e)
+
+
+def _listed(folders: DataFrame) -> DataFrame:
+    """The entries of each folder (path), listed by the tasks."""
+
+    def run(batches):
+        import pandas as pd
+
+        for frame in batches:
+            for folder in frame["path"]:
+                entries = _entries(folder)
+                while rows := list(itertools.islice(entries, LISTED)):
+                    yield pd.DataFrame(rows, columns=["path", "length", "folder"])
+
+    return folders.select("path").mapInPandas(run, f"{FILES}, folder boolean")
+
+
+def list_files(spark: SparkSession, inputs: list[str], recursive: bool = False) -> DataFrame:
+    """path and length of the regular files among the inputs; folders are listed, one level or all. Missing inputs are logged and skipped. Only the
+    inputs pass the driver: tasks list folders, level by level, and each level is written."""
+    files, folders = [], []
     for given in inputs:
         if os.path.isfile(given):
-            yield given, os.path.getsize(given)
+            files.append((given, os.path.getsize(given)))
         elif os.path.isdir(given):
-            for folder, names, files in os.walk(given, followlinks=False):
-                for name in sorted(files):
-                    path = os.path.join(folder, name)
-                    if os.path.isfile(path):
-                        yield path, os.path.getsize(path)
-                if not recursive:
-                    break
-                names.sort()
+            folders.append((given,))
         else:
             log.error("Input not found: %s", given)
+    out, base, depth = spark.createDataFrame(files, FILES), shared_folder(spark), 0
+    level = spark.createDataFrame(folders, "path string") if folders else None
+    while level is not None:
+        depth, level = depth + 1, written(_listed(level.repartition(spark.sparkContext.defaultParallelism)), f"{base}/{depth}")
+        out = out.unionAll(level.where("not folder").select("path", "length"))
+        level = level.where("folder")
+        if not recursive or level.isEmpty():
+            break
+    return out
 
 
 def scan(spark: SparkSession, inputs: list[str], recursive: bool = False, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """path and length of every input file that passes the filters, once each. Names are listed in the driver, since Spark's own listing drops
+    """path and length of every input file that passes the filters, once each. Folders are listed by ``list_files``, since Spark's own listing drops
     names that start with a dot or an underscore; bytes are read by ``contents``. Standard input is not a path: see ``stdin_files``."""
     if "-" in inputs:
         raise ValueError("standard input must be the only input")
-    rows = list(list_files(inputs, recursive))
-    df = spark.createDataFrame(list(dict.fromkeys(rows)), FILES)
-    return df.where(~scalar.is_junk(F.col("path")) & path_filter(F.col("path"), include, exclude))
+    found = list_files(spark, inputs, recursive)
+    return found.where(~scalar.is_junk(F.col("path")) & path_filter(F.col("path"), include, exclude)).distinct()
 
 
 def scan_tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
