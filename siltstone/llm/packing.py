@@ -12,8 +12,11 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import public_tokenizers
@@ -25,6 +28,8 @@ from .pretoken import MATCHES, Chunked, Remembered
 
 MAX_TOKENS = 2048
 END_ID = 1
+#: Longer texts are cut into chunks, since the pattern of ``tiktoken`` gives up on very long runs of white space.
+WHOLE_TEXT = 200_000
 #: Letters of a Latin word, perhaps after a space, are one match of the pattern.
 _ONE_WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 PIECES = "array<struct<start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint, sequence_id: bigint, ids: binary>>"
@@ -43,10 +48,40 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
 
+def assigned(text: str) -> bool:
+    """Whether Python's Unicode knows every character. Others may be letters to a newer one, so the pattern's
+    classes can differ between libraries there, and only there (assigned ones are all tested)."""
+    return text.isascii() or text.replace("\n", "").isprintable() or "Cn" not in map(unicodedata.category, set(text))
+
+
+def ranked(tokenizer) -> tuple[Callable[[str], list[int]], list[int]] | None:
+    """A function from a text to ranks, by ``tiktoken``, which is faster on whole texts, and the id of each rank; None if ids could differ from the library's.
+
+    Both join the neighbours of the lowest rank, leftmost first; but the library joins listed pairs only, and tiktoken
+    any two that spell a token. Let two neighbours spell a token. So far nothing around them took part, so they are
+    what the token's own text passes through when it is encoded alone. If that ends in the token, its last two parts are
+    the one pair listed for it. So the two agree if every token has one pair and encodes to itself, which is tried here."""
+    import tiktoken
+
+    model, letters = json.loads(tokenizer.to_str())["model"], byte_letters()
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    tokens, byte_of = [*map(chr, (letters[b] for b in range(256))), *joined], {chr(v): b for b, v in letters.items()}
+    ids, merge = model["vocab"], tokenizer.model.tokenize
+    if len(set(tokens)) < len(tokens) or not all(t in ids and byte_of.keys() >= set(t) for t in tokens):
+        return None
+    if any([part.id for part in merge(t)] != [ids[t]] for t in tokens):
+        return None
+    ranks = {bytes([byte_of[c] for c in t]): rank for rank, t in enumerate(tokens)}
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, [ids[t] for t in tokens]
+
+
 @lru_cache(maxsize=2)
 def _encoder(vocabulary: str, added_tokens: bool = False):
-    """Made once in a worker, so that what is remembered serves all its tasks. A function from a text to its ids as little-endian unsigned 32-bit integers. Matches of the pattern go to the library's
-    merging model once each; their ids are remembered, and so are those of the chunks between spaces. With
+    """Made once in a worker, so that what is remembered serves all its tasks. A function from a text to its ids as little-endian unsigned 32-bit integers.
+    Whole texts are encoded by ranks where these give the library's ids. Else, and in very long texts, matches of the pattern go to the library's
+    merging model once each; their ids are remembered, and so are those of the chunks between spaces. Texts with unassigned characters are matched and merged by the library. With
     ``added_tokens`` a text is cut at the literals of added tokens, which have ids of their own, as in the library by default; where added
     tokens also take in what is around them, the library does it all."""
     from tokenizers import Tokenizer
@@ -59,6 +94,9 @@ def _encoder(vocabulary: str, added_tokens: bool = False):
     literals = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
     spelled = [i.to_bytes(4, "little") for i in range(1 + max(tokenizer.get_vocab().values()))]
 
+    to_ranks, ids = ranked(tokenizer) or (None, [])
+    by_rank = [spelled[i] for i in ids].__getitem__
+
     def match_ids(match: str) -> bytes:
         return b"".join([spelled[t.id] for t in merge(match.encode("utf-8").decode("latin-1").translate(letters))])
 
@@ -70,13 +108,21 @@ def _encoder(vocabulary: str, added_tokens: bool = False):
         return b"".join(map(matches, MATCHES.findall(chunk)))
 
     chunked = Chunked(chunk_ids)
+
+    def plain(text: str) -> bytes:
+        if not assigned(text):
+            return b"".join([spelled[t.id] for match, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text) for t in merge(match)])
+        if to_ranks and len(text) <= WHOLE_TEXT:
+            return b"".join(map(by_rank, to_ranks(text)))
+        return b"".join(chunked(text))
+
     cut = re.compile("(" + "|".join(map(re.escape, sorted(literals, key=len, reverse=True))) + ")").split
 
     def encode(text: str) -> bytes:
         for literal in literals:
             if literal in text:  # every second part is a literal
-                return b"".join([literals[part] if n % 2 else b"".join(chunked(part)) for n, part in enumerate(cut(text))])
-        return b"".join(chunked(text))
+                return b"".join([literals[part] if n % 2 else plain(part) for n, part in enumerate(cut(text))])
+        return plain(text)
 
     return encode
 

@@ -143,3 +143,56 @@ def test_query_and_pipeline_take_added_tokens(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op6_packing(spark, str(tmp_path)).first().doc_tokens == 5
     assert corpus_pipeline.packing_stage(spark, df, str(tmp_path)).first().doc_tokens == 5
+
+
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+JSON_LIBRARY = Tokenizer.from_file(JSON)
+
+
+def library_ids(text, library=JSON_LIBRARY):
+    return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_knows_every_code_point_as_the_library_does():
+    """All assigned characters beside matches of each kind; and some unassigned ones, which another Unicode may count as letters and the library itself matches."""
+    encode = packing._encoder(JSON, True)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    known, unknown = [c for c in points if packing.assigned(c)], [c for c in points if not packing.assigned(c)]
+    assert {"\n", "a", "ß", "日", "\x85", "\u200b", "\ue000"} <= set(known) and {"\u0558", "\U000323b0"} <= set(unknown)
+    for chars in (known, unknown[:: len(unknown) // 4000], [c for c in unknown if c < "\u3000" or "\U000323b0" <= c < "\U000323c0"]):
+        for at in range(0, len(chars), 500):
+            text = "".join([f"a{c}1{c}!{c}{c} b {c}'s " for c in chars[at : at + 500]])
+            assert encode(text) == library_ids(text)
+    for c in "\u0558", "\U000323b0":
+        for text in (c, f"{c}'s it's", f"a{c}'ll!!  b", f"x {c}y\n {c}'s<|endoftext|>{c}1"):
+            assert encode(text) == library_ids(text)
+
+
+def test_packing_of_texts_too_long_to_be_encoded_whole():
+    encode = packing._encoder(JSON, True)
+    rng = random.Random(3)
+    for text in (" ".join("".join(rng.choices("thingerosé,", k=rng.randrange(1, 12))) for _ in range(40_000)), "a" * 250_000, "x" + " " * 1_200_000 + "y", "é\n  " * 60_000):
+        assert len(text) > packing.WHOLE_TEXT and encode(text) == library_ids(text)
+
+
+def test_ranks_only_where_they_give_the_librarys_ids(tmp_path):
+    """With b+c before a+b, the library never joins a and bc, though abc is a token."""
+    from tokenizers import models, pre_tokenizers
+
+    letters = [chr(c) for _, c in sorted(packing.byte_letters().items())]
+    texts = ["abc", "xabc ab bc", "<abcabc>", "abab", "cabbc"]
+    for n, (merges, same) in enumerate([([("a", "b"), ("ab", "c")], True), ([("b", "c"), ("a", "b"), ("ab", "c")], False), ([("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc")], False)]):
+        tokens = dict.fromkeys([*letters, *("".join(m) for m in merges)])
+        library = Tokenizer(models.BPE({t: len(tokens) - 1 - i for i, t in enumerate(tokens)}, merges))
+        library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        library.save(path := f"{tmp_path}/{n}.json")
+        assert (packing.ranked(library) is not None) == same
+        for text in texts:
+            assert packing._encoder(path)(text) == library_ids(text, library)
+    assert packing.ranked(JSON_LIBRARY)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(list("abeht ingñ'sS.,\n\t 12_日\u0558")), st.characters(exclude_categories=["Cs"])), max_size=80))
+def test_packing_any_text(text):
+    assert packing._encoder(JSON, True)(text) == library_ids(text)
