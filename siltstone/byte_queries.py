@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .codecs import audio, containers, pdf, registry, samples
@@ -511,10 +511,17 @@ def q87_csv_report(spark, sf_dir):
     codecs = F.array(F.struct(F.lit("png").alias("name"), F.lit(12.0).alias("pct")))
     r = _results(spark, sf_dir).withColumn("container_origin", F.lit(None).cast("string")).withColumn("seconds", F.lit(0.5)).withColumn("codecs_used", codecs).withColumn("error_msg", F.lit('bad, "worse"')).withColumn("format", F.lit("zip"))
     csv_report.write_parts(r, r.select(F.col("path").alias("filename"), "format", "size_before", "size_after", "success", "error_msg"), folder, "pipe")
-    back = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/files")
-    exact = _results(spark, sf_dir).select(F.col("path").alias("File"), scalar.delta_percent(F.col("size_before"), F.col("size_after"), F.col("success")).alias("exact"))
+    back = csv_report.read_files(spark, folder)
+    exact = _results(spark, sf_dir).select(F.col("path").alias("File"), scalar.kilobytes(F.col("size_before")).alias("before"), scalar.kilobytes(F.col("size_after")).alias("after"), scalar.outcome(F.col("success"), F.col("replaced")).alias("outcome"), scalar.delta_percent(F.col("size_before"), F.col("size_after"), F.col("success")).alias("exact"))
+    # a path may stand in several rows: these are paired in the order of their cells, in which rounding changes nothing
+    exact = exact.withColumn("copy", F.row_number().over(Window.partitionBy("File", "before", "after", "outcome").orderBy("exact")))
+    cells = {"before": F.col("Before(KB)").cast("bigint"), "after": F.col("After(KB)").cast("bigint"), "outcome": F.col("Result")}
+    back = back.withColumn("copy", F.row_number().over(Window.partitionBy("File", *cells.values()).orderBy(F.col("Delta(%)").cast("double"))))
     near = F.when(F.abs(F.col("Delta(%)").cast("double") - F.col("exact")) <= 0.0051, F.col("exact"))
-    joined = back.join(exact, "File")
+    same = back["File"].eqNullSafe(exact["File"]) & (back["copy"] == exact["copy"])
+    for name, cell in cells.items():
+        same &= cell.eqNullSafe(exact[name])
+    joined = back.join(exact, same).drop(exact["File"])
     return joined.select("File", F.coalesce("Container", F.lit("")).alias("Container"), "MIME", F.col("Before(KB)").cast("bigint").alias("Before"), F.col("After(KB)").cast("bigint").alias("After"), near.alias("delta"), F.col("Time(s)").alias("seconds"), F.col("Result").alias("result"), F.col("Codecs").alias("codecs"), F.col("Error").alias("error"))
 
 

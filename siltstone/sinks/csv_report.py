@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -13,6 +13,8 @@ from ..functions import scalar
 FILES = ("File", "Container", "MIME", "Before(KB)", "After(KB)", "Delta(%)", "Time(s)", "Result", "Codecs", "Error")
 CONTAINERS = ("Container", "Format", "Before(KB)", "After(KB)", "Delta(%)", "Error")
 FOOTER = ("Total amount of time", "Encoding mode used")
+#: Cells keep their blanks, and quotes are doubled.
+_AS_THEY_ARE = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def file_section(results: DataFrame, mode: str) -> DataFrame:
@@ -48,7 +50,12 @@ def write_report(results: DataFrame, containers: DataFrame, path: str, seconds:
 def write_parts(results: DataFrame, containers: DataFrame, folder: str, mode: str) -> None:
     """The sections as folders of CSV parts, for results of any size."""
     for name, rows in (("files", file_section(results, mode)), ("containers", container_section(containers))):
-        rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+        rows.write.mode("overwrite").options(header=True, **_AS_THEY_ARE).csv(f"{folder}/{name}")
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The file rows of such parts, as strings. Null cells have no quotes, empty ones do, and no cell is a NUL."""
+    return spark.read.options(header=True, multiLine=True, nullValue="\0", **_AS_THEY_ARE).schema(", ".join(f"`{n}` string" for n in FILES)).csv(f"{folder}/files")
 
 
 def console_table(results: DataFrame, limit: int = 1000) -> str:
