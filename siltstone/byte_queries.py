@@ -67,8 +67,7 @@ def _pick_sql(names: tuple[str, ...], n: str) -> str:
 @query(f"with {_MEMBERS_SQL} select conv_id::varchar as parent_id, {_pick_sql(_KINDS, 'conv_id')} as format, seq, 'turn' || turn || '.txt' as rel_path, md5(text) as digest from m")
 def q49_archive_members(spark, sf_dir):
     packed = containers.pack(_members(spark, sf_dir).withColumn("format", _pick(_KINDS, F.col("conv_id"))))
-    found = containers.unpack(packed).join(packed.select("parent_id", "format"), "parent_id")
-    return found.select("parent_id", "format", "seq", "rel_path", _md5("content").alias("digest"))
+    return containers.unpack(packed, "format").select("parent_id", "format", "seq", "rel_path", _md5("content").alias("digest"))
 
 
 _STREAMS = ("gz", "bz2", "xz", "zst")
@@ -77,8 +76,7 @@ _STREAMS = ("gz", "bz2", "xz", "zst")
 @query(f"select page_id::varchar as parent_id, {_pick_sql(_STREAMS, 'page_id')} as format, 'data' as rel_path, 'file' as kind, md5(html) as digest from pages")
 def q50_packed_streams(spark, sf_dir):
     p = _t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("parent_id"), _pick(_STREAMS, F.col("page_id")).alias("format"), F.lit(0).alias("seq"), F.lit("data").alias("rel_path"), F.col("html").cast("binary").alias("content"))
-    packed = containers.pack(p)
-    return containers.unpack(packed).join(packed.select("parent_id", "format"), "parent_id").select("parent_id", "format", "rel_path", "kind", _md5("content").alias("digest"))
+    return containers.unpack(containers.pack(p), "format").select("parent_id", "format", "rel_path", "kind", _md5("content").alias("digest"))
 
 
 def _office(spark, sf_dir: str, formats: tuple[str, ...], first: Column, content: Column) -> DataFrame:
@@ -94,8 +92,7 @@ _OOXML = ("docx", "xlsx", "pptx")
 @query(f"with {_MEMBERS_SQL} select conv_id::varchar as parent_id, {_pick_sql(_OOXML, 'conv_id')} as format, '[Content_Types].xml' as first_path, count(*) + 1 as members from m group by conv_id")
 def q51_ooxml_rebuild(spark, sf_dir):
     packed = _office(spark, sf_dir, _OOXML, F.lit("[Content_Types].xml"), F.lit("<Types/>"))
-    found = containers.unpack(packed).groupBy("parent_id").agg(F.min_by("rel_path", "seq").alias("first_path"), F.count("*").alias("members"))
-    return found.join(packed.select("parent_id", "format"), "parent_id").select("parent_id", "format", "first_path", "members")
+    return containers.unpack(packed, "format").groupBy("parent_id", "format").agg(F.min_by("rel_path", "seq").alias("first_path"), F.count("*").alias("members"))
 
 
 _ODF = {"odt": "application/vnd.oasis.opendocument.text", "epub": "application/epub+zip"}
@@ -105,10 +102,9 @@ _ODF = {"odt": "application/vnd.oasis.opendocument.text", "epub": "application/e
 def q52_odf_rebuild(spark, sf_dir):
     kind = F.create_map(*[F.lit(x) for p in _ODF.items() for x in p])
     packed = _office(spark, sf_dir, tuple(_ODF), F.lit("mimetype"), F.element_at(kind, F.col("format")))
-    found = containers.unpack(packed).groupBy("parent_id").agg(F.count("*").alias("members"))
     # told by the first bytes, which only works if mimetype comes first and is stored
-    told = packed.select("parent_id", scalar.magic_mime(F.col("content")).alias("mime"), (F.hex(F.substring("content", 9, 2)) == "0000").alias("is_stored"))
-    return told.join(found, "parent_id")
+    told = packed.select("parent_id", "format", "content", scalar.magic_mime(F.col("content")).alias("mime"), (F.hex(F.substring("content", 9, 2)) == "0000").alias("is_stored"))
+    return containers.unpack(told, "mime", "is_stored").groupBy("parent_id", "mime", "is_stored").agg(F.count("*").alias("members"))
 
 
 @query(f"with {_MEMBERS_SQL} select conv_id::varchar as parent_id, count(*) as saved from m group by conv_id")
